@@ -4,9 +4,11 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from catalink.llm import mixing, sharding
+    from catalink.llm import binary, mixing, packing, sharding
 
     return {
+        "op6_binary": binary.op6_binary,
+        "op7_packing": packing.op7_packing,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
     }
