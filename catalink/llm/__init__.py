@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from catalink.llm import binary, mixing, neardup, packing, sharding
+    from catalink.llm import binary, fingerprint, mixing, neardup, packing, sharding
 
     return {
+        "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_neardup": neardup.op2_neardup,
         "op6_binary": binary.op6_binary,
         "op7_packing": packing.op7_packing,
