@@ -4,13 +4,15 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from catalink.llm import binary, fingerprint, mixing, neardup, packing, sharding
+    from catalink.llm import binary, fingerprint, language, mixing, neardup, packing, quality, sharding
 
     return {
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_neardup": neardup.op2_neardup,
+        "op3_language": language.op3_language,
         "op6_binary": binary.op6_binary,
         "op7_packing": packing.op7_packing,
+        "op8_quality": quality.op8_quality,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
     }
