@@ -4,12 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from catalink.llm import binary, fingerprint, language, mixing, neardup, packing, quality, sharding
+    from catalink.llm import binary, fingerprint, language, media, mixing, neardup, packing, quality, sharding
 
     return {
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_neardup": neardup.op2_neardup,
         "op3_language": language.op3_language,
+        "op5_media": media.op5_media,
         "op6_binary": binary.op6_binary,
         "op7_packing": packing.op7_packing,
         "op8_quality": quality.op8_quality,
