@@ -4,12 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from catalink.llm import binary, fingerprint, language, media, mixing, neardup, packing, quality, sharding
+    from catalink.llm import binary, fingerprint, language, licences, media, mixing, neardup, packing, quality, sharding
 
     return {
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_neardup": neardup.op2_neardup,
         "op3_language": language.op3_language,
+        "op4_licences": licences.op4_licences,
         "op5_media": media.op5_media,
         "op6_binary": binary.op6_binary,
         "op7_packing": packing.op7_packing,
@@ -20,6 +21,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from catalink.llm import mixing
+    from catalink.llm import licences, mixing
 
-    return {"op9_mixing": mixing.OP9_SQL}
+    return {"op4_licences": licences.oracle(), "op9_mixing": mixing.OP9_SQL}
