@@ -1,11 +1,270 @@
-"""Queries over the operators, by name, with the SQL that gives the same rows."""
+"""Queries over the operators, by name, with the SQL that gives the same rows.
+
+Driver tables stand in for files and catalog: documents are files, benchmark passages
+are entries, parts and pages give names. Columns that they lack follow from a formula that both sides use.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalink.functions import text as T
+from catalink.operators import actions, cascade, catalog, constraints, phrases, scoring, state
+from catalink.operators.select import accept, small, top2
+from catalink.plans import sql
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files: 2000 characters a page, 30 bytes a character on even pages counts and 90 on odd ones."""
+    pages = F.ceil(F.col("n_chars") / 2000).cast("int")
+    text = T.clean_text("text")
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("file_id"), text.alias("text"), T.significant_words(text).alias("words"), pages.alias("page_count"),
+        F.when(pages % 2 == 0, 30_000.0).otherwise(130_000.0).alias("bytes_per_page"),
+    )
+
+
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages as entries: the first six words are the title, and the notes name a page count."""
+    clean = T.clean_text("text")
+    pages = F.format_string("%02d", F.col("item_id") % 3 + 10)
+    return table(spark, sf, "benchmark").select(
+        "item_id", clean.alias("clean_notes"), T.significant_words(clean).alias("words"),
+        F.concat("text", F.lit(" "), pages, F.lit(" pages"), F.when(F.col("item_id") % 2 == 0, " in color").otherwise("")).alias("notes"),
+        F.array_join(F.slice(F.split(clean, " "), 1, 6), " ").alias("core_title"),
+    )
+
+
+def clean_text(spark, sf):
+    d = table(spark, sf, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), T.clean_text("text").alias("clean"))
+    p = table(spark, sf, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), T.clean_text("html").alias("clean"))
+    return d.union(p).select("origin", "id", F.md5(F.col("clean").cast("binary")).alias("digest"), F.length("clean").cast("long").alias("n_chars"))
+
+
+def strip_codes(spark, sf):
+    name = F.concat(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("TSR"), F.col("p_partkey"), F.lit(": "))).when(F.col("p_partkey") % 3 == 1, F.lit("TSRXXXX: ")).otherwise(F.lit("")), F.col("p_name"))
+    clean = T.clean_text(name)
+    return table(spark, sf, "part").select("p_partkey", clean.alias("clean_title"), T.strip_code(clean).alias("core_title"), T.strip_any_code(clean).alias("bare_title"))
+
+
+def token_idf(spark, sf):
+    return scoring.idf(entries(spark, sf)).select("word", F.round("idf", 6).alias("idf"))
+
+
+def overlap_scores(spark, sf):
+    e = entries(spark, sf)
+    return scoring.overlap(files(spark, sf), e, scoring.idf(e)).select("file_id", "item_id", F.round("overlap", 6).alias("overlap"))
+
+
+def content_match(spark, sf):
+    e = entries(spark, sf)
+    pairs = scoring.overlap(files(spark, sf), e, scoring.idf(e))
+    best = accept(top2(pairs, "file_id", "item_id", "overlap"), "overlap", 0.90, 0.20)
+    return best.select("file_id", "item_id", F.round("overlap", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"))
+
+
+def bonus_candidates(spark, sf):
+    e = entries(spark, sf)
+    return scoring.scores(files(spark, sf), e, scoring.idf(e)).select("file_id", "item_id", F.round("score", 6).alias("score"))
+
+
+def verbatim_title(spark, sf):
+    f, e = files(spark, sf).select("file_id", "text"), small(entries(spark, sf).select("item_id", "core_title"))
+    return f.join(e, T.has_verbatim_title("core_title", "text")).select("file_id", "item_id")
+
+
+def unclaimed_match(spark, sf):
+    """Entries that content matches have claimed are gone; files that they linked are, too."""
+    f, e = files(spark, sf), entries(spark, sf)
+    weights = scoring.idf(e)
+    claimed = content_match(spark, sf)
+    pairs = scoring.overlap(f.join(claimed, "file_id", "left_anti"), e.join(claimed, "item_id", "left_anti"), weights)
+    best = accept(top2(pairs, "file_id", "item_id", "overlap"), "overlap", 0.30, 0, strict=True)
+    return best.select("file_id", "item_id", F.round("overlap", 6).alias("score"))
+
+
+def blank_pool_match(spark, sf):
+    """Entries of even number stand in for forms."""
+    e = entries(spark, sf)
+    pairs = scoring.overlap(files(spark, sf), e.where("item_id % 2 = 0"), scoring.idf(e))
+    best = accept(top2(pairs, "file_id", "item_id", "overlap"), "overlap", 0.50, 0.40)
+    return best.select("file_id", "item_id", F.round("overlap", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"))
+
+
+def hamming_match(spark, sf):
+    """Signs of an embedding are a hash of 64 bits; vectors of a number divisible by 5 look for the nearest of 500 others.
+
+    A declared fixture: at most 20 bits, 3 less than the next one."""
+    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+    v = table(spark, sf, "embeddings").select("vec_id", F.array(bits).alias("h"))
+    queries_, known = v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0 and vec_id < 2000")
+    pairs = queries_.select(F.col("vec_id").alias("file_id"), F.col("h").alias("a")).join(F.broadcast(known.select(F.col("vec_id").alias("item_id"), F.col("h").alias("b"))))  # below 1600 rows
+    best = top2(pairs.select("file_id", "item_id", T.hamming("a", "b").alias("distance")), "file_id", "item_id", "distance", 999, smallest=True)
+    return best.where("distance <= 20 and runner_up - distance >= 3").select("file_id", "item_id", F.col("distance").cast("long"), F.col("runner_up").cast("long"))
+
+
+def phrase_match(spark, sf):
+    pairs = phrases.phrase_scores(files(spark, sf), entries(spark, sf))
+    best = accept(top2(pairs, "file_id", "item_id", "score"), "score", 0.65, 0.20)
+    return best.select("file_id", "item_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"))
+
+
+def shingle_candidates(spark, sf):
+    return phrases.shingle_candidates(files(spark, sf), entries(spark, sf))
+
+
+def _sha(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+def fingerprint_join(spark, sf):
+    """Documents below number 100 fill the cache."""
+    d = _sha(spark, sf)
+    cache = d.where("doc_id < 100").groupBy("sha256").agg(F.concat(F.lit("title "), F.min("doc_id")).alias("title"))
+    return d.join(cache, "sha256").select("doc_id", "title")
+
+
+def duplicate_groups(spark, sf):
+    """Documents of a source are numbered copies of one name in groups of four."""
+    d = _sha(spark, sf)
+    base = F.concat("source", F.lit(" "), F.floor(F.col("doc_id") / 80))
+    k = (F.floor(F.col("doc_id") / 20) % 4 + 1).cast("int")
+    named = d.select(F.concat(base, F.when(k > 1, F.concat(F.lit(" ("), k, F.lit(")"))).otherwise(F.lit("")), F.lit(".pdf")).alias("file_name"), "sha256")
+    return constraints.collision_groups(named)
+
+
+def duplicate_targets(spark, sf):
+    """Plans are the unclaimed matches; targets wanted twice are refused."""
+    plans = unclaimed_match(spark, sf).select("file_id", F.col("item_id").alias("target_title"))
+    return constraints.duplicate_targets(plans).select("file_id", "target_title", "is_duplicate")
+
+
+def _parts(spark, sf):
+    p = table(spark, sf, "part")
+    code = F.when(F.col("p_partkey") % 7 == 0, F.lit("TSRXXXX: ")).otherwise(F.concat(F.lit("TSR"), F.col("p_partkey") % 5 + 2000, F.lit(": ")))
+    size = F.when(F.col("p_partkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("p_brand")))
+    return catalog.derived(p.select(
+        F.col("p_partkey").alias("pos"), F.concat(code, F.col("p_name"), size).alias("title"), F.concat("p_type", F.lit(" "), F.col("p_size"), F.lit(" pages")).alias("notes"),
+        (F.col("p_size") + 1970).cast("string").alias("year"),
+        F.concat(F.lit("C:\\x\\"), F.when(F.col("p_partkey") % 11 == 0, F.concat("p_name", F.lit(" art.lnk"))).otherwise(F.concat(F.lit("f"), F.col("p_partkey"), F.lit(".pdf")))).alias("application_path"),
+    ))
+
+
+def _images(spark, sf):
+    s = table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("TSR"), F.col("p_partkey") % 5 + 2000, F.lit(" "), F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("original_name"))
+    clean = T.clean_text("original_name")
+    return s.select("pos", "original_name", clean.alias("clean_name"), T.strip_code(clean).alias("core_name"))
+
+
+def sibling_flags(spark, sf):
+    return catalog.with_siblings(_parts(spark, sf)).select("pos", "has_specific_sibling")
+
+
+def display_name(spark, sf):
+    return catalog.with_display_name(_parts(spark, sf), _images(spark, sf)).select("pos", "display_name")
+
+
+def ambiguous_titles(spark, sf):
+    named = _parts(spark, sf).withColumn("display_name", F.concat("title", F.lit(" #"), F.col("year")))
+    return catalog.ambiguous_titles(named).select("display_name", F.col("n_names").cast("long").alias("n_names"), F.md5(F.col("others").cast("binary")).alias("others_digest"))
+
+
+def _names(spark, sf):
+    p = table(spark, sf, "part").where("p_partkey % 4 = 0")
+    return p.select(F.col("p_partkey").alias("name_id"), T.clean_text("p_name").alias("clean_name"), F.col("p_size").alias("page_count"))
+
+
+def legacy_token(spark, sf):
+    return catalog.token_choice(_names(spark, sf), _parts(spark, sf))
+
+
+def substring_names(spark, sf):
+    return catalog.substring_choice(_names(spark, sf), _images(spark, sf).withColumnRenamed("clean_name", "image_name"), "image_name")
+
+
+def nonpdf_longest(spark, sf):
+    return catalog.software_choice(_names(spark, sf), _parts(spark, sf))
+
+
+def claimed_setops(spark, sf):
+    """Targets of content matches and item numbers of even documents are claimed; the rest is not."""
+    claimed = content_match(spark, sf).select("item_id").union(table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"))).distinct()
+    e = table(spark, sf, "benchmark").select("item_id")
+    return e.join(claimed, "item_id", "left_semi").withColumn("claimed", F.lit(True)).union(e.join(claimed, "item_id", "left_anti").withColumn("claimed", F.lit(False)))
+
+
+def incremental_partition(spark, sf):
+    """The index comes from documents as they were: every fifth has another size now, every seventh no title."""
+    d = _sha(spark, sf).join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    name = F.concat(F.lit("f"), F.col("doc_id"))
+    f = d.select(name.alias("file_name"), F.col("n_chars").alias("size"), F.col("doc_id").alias("mtime"))
+    index = d.where("doc_id % 3 <> 0").select(name.alias("file_name"), (F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("size"), F.col("doc_id").alias("mtime"), "sha256")
+    cache = d.groupBy("sha256").agg(F.min("doc_id").alias("m")).select("sha256", F.when(F.col("m") % 7 != 0, F.concat(F.lit("title "), F.col("m"))).alias("title"))
+    return state.incremental_partition(f, index, cache).select("file_name", "title", "skip")
+
+
+def cache_merge(spark, sf):
+    e = table(spark, sf, "events")
+    cols = [F.concat(F.lit("u"), F.col("user_id")).alias("sha256"), F.concat("event_type", F.lit(" "), F.col("event_id")).alias("title"), F.col("event_type").alias("matched_via"), F.col("event_id").alias("pos")]
+    old = state.latest(e.where("event_id % 4 = 0"), "user_id", "event_id").select(*cols[:3])
+    return state.merge_cache(old, e.where("event_id % 4 = 1").select(*cols), e.where("event_id % 97 = 2").select(*cols))
+
+
+def index_merge(spark, sf):
+    e = table(spark, sf, "events")
+    name = F.concat(F.lit("u"), F.col("user_id"))
+    index = state.latest(e.where("event_id % 2 = 0"), "user_id", "event_id").select(name.alias("file_name"), F.col("event_id").alias("size"), F.col("event_id").alias("mtime"), F.col("event_type").alias("sha256"))
+    last = state.latest(e.where("event_id % 2 = 1"), "user_id", "event_id")
+    results = last.select(name.alias("file_name"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("n"), F.col("user_id"))).alias("new_name"), (F.col("event_id") % 5 == 0).alias("low_confidence"), F.col("event_id").alias("size"), F.col("event_id").alias("mtime"), F.col("event_type").alias("sha256"))
+    return state.merge_index(index, results)
+
+
+def newest_k(spark, sf):
+    return state.newest(table(spark, sf, "events").select("event_id", "event_type"), "event_id", 20)
+
+
+def title_search(spark, sf):
+    """Titles that contain "red" in any case, and whether a part of even number has claimed them."""
+    p = table(spark, sf, "part")
+    titles, claimed = p.select("p_name").distinct(), p.where("p_partkey % 50 = 0").select("p_name").distinct().withColumn("c", F.lit(True))
+    hits = titles.where(F.contains(F.lower("p_name"), F.lower(F.lit("RED")))).join(claimed, "p_name", "left")
+    return hits.select(F.concat("p_name", F.when(F.col("c"), " (already assigned)").otherwise("")).alias("label"))
+
+
+def suffix_numbering(spark, sf):
+    """Plans of a directory of parts: many want one name. The directory's plan is carried out by the driver."""
+    rows = [(f"f{r['p_partkey']}.pdf", r["p_name"]) for r in table(spark, sf, "part").where("p_partkey <= 500").select("p_partkey", "p_name").orderBy("p_partkey").collect()]
+    return spark.createDataFrame(actions.free_names(rows, [old for old, _ in rows]), "old string, new string")
+
+
+def undo_plan(spark, sf):
+    done = [(r["old"], r["new"]) for r in suffix_numbering(spark, sf).collect()]
+    back, _ = actions.undo_plan(done, [new for _, new in done[::2]])
+    return spark.createDataFrame(back, "old string, new string")
+
+
+def cascade_link(spark, sf):
+    """The whole cascade on documents named after parts, with passages as entries."""
+    from catalink.plans.run import link_tables
+
+    return link_tables(spark, sf)
+
+
+QUERIES = (
+    clean_text, strip_codes, token_idf, overlap_scores, content_match, bonus_candidates, verbatim_title, unclaimed_match, blank_pool_match, hamming_match,
+    phrase_match, shingle_candidates, fingerprint_join, duplicate_groups, duplicate_targets, sibling_flags, display_name, ambiguous_titles, legacy_token,
+    substring_names, nonpdf_longest, claimed_setops, incremental_partition, cache_merge, index_merge, newest_k, title_search, suffix_numbering, undo_plan, cascade_link,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracles()
