@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalink.functions import text as T
-from catalink.operators import actions, cascade, catalog, constraints, phrases, scoring, state
+from catalink.operators import actions, catalog, constraints, phrases, review, scoring, state
 from catalink.operators.select import accept, small, top2
 from catalink.plans import sql
 
@@ -248,6 +248,38 @@ def undo_plan(spark, sf):
     return spark.createDataFrame(back, "old string, new string")
 
 
+def review_decisions(spark, sf):
+    """Parts below number 400 are a queue; numbers decide, and a stop comes at 350."""
+    p = table(spark, sf, "part").where("p_partkey < 400")
+    n = F.col("p_partkey")
+    queue = p.select(n.alias("pos"), F.concat(F.lit("f"), n).alias("stem"), F.col("p_name").alias("suggested"))
+    how = F.when(n == 350, "stop").when(n % 5 == 0, "no").when(n % 7 == 0, "keep").when(n % 11 == 0, F.lit(None)).otherwise("yes")
+    chosen = F.when(n % 13 == 0, F.concat(F.lit("own "), n % 3)).when(n % 17 == 0, F.lit("known"))
+    titles = p.select(F.col("p_name").alias("title")).union(spark.createDataFrame([("known",)], "title string"))
+    return review.decided(queue, p.select(n.alias("pos"), how.alias("decision"), chosen.alias("chosen_title")), titles)
+
+
+def run_counters(spark, sf):
+    """Results of parts: numbers tell their method and target."""
+    n = F.col("p_partkey")
+    method = F.when(n % 3 == 0, "Fingerprint Cache: x").when(n % 4 == 0, "Catalog Name (low confidence)").otherwise("Content Match")
+    rows = table(spark, sf, "part").select(F.col("p_name").alias("stem"), F.when(n % 2 == 0, F.col("p_name")).when(n % 5 != 0, F.lit("other")).alias("target_title"), method.alias("match_method"))
+    return review.counters(rows)
+
+
+def already_correct(spark, sf):
+    """Names of parts against those of parts of even number."""
+    p = table(spark, sf, "part")
+    return review.already_correct(p.select("p_partkey", F.col("p_name").alias("stem")), p.where("p_partkey % 40 = 0").select(F.col("p_name").alias("title"))).select("p_partkey", "is_correct")
+
+
+def file_order(spark, sf):
+    """Parts in order of number, the second copies of four after all others."""
+    n = F.col("p_partkey")
+    name = F.concat(F.lit("f"), F.floor(n / 4), F.when(n % 4 == 1, " (2)").otherwise(F.when(n % 4 == 0, "").otherwise(F.concat(F.lit(" "), n))), F.lit(".pdf"))
+    return constraints.plain_before_suffixed(table(spark, sf, "part").where("p_partkey % 3 <> 0").select(n.alias("pos"), name.alias("file_name"))).select("pos", F.col("place").cast("long").alias("place"))
+
+
 def cascade_link(spark, sf):
     """The whole cascade on documents named after parts, with passages as entries."""
     from catalink.plans.run import link_tables
@@ -258,7 +290,7 @@ def cascade_link(spark, sf):
 QUERIES = (
     clean_text, strip_codes, token_idf, overlap_scores, content_match, bonus_candidates, verbatim_title, unclaimed_match, blank_pool_match, hamming_match,
     phrase_match, shingle_candidates, fingerprint_join, duplicate_groups, duplicate_targets, sibling_flags, display_name, ambiguous_titles, legacy_token,
-    substring_names, nonpdf_longest, claimed_setops, incremental_partition, cache_merge, index_merge, newest_k, title_search, suffix_numbering, undo_plan, cascade_link,
+    substring_names, nonpdf_longest, claimed_setops, incremental_partition, cache_merge, index_merge, newest_k, title_search, suffix_numbering, undo_plan, review_decisions, run_counters, already_correct, file_order, cascade_link,
 )
 
 

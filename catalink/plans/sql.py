@@ -157,4 +157,20 @@ def oracles() -> dict[str, str]:
         "newest_k": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20",
         "title_search": """SELECT p_name || CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_partkey % 50 = 0) THEN ' (already assigned)' ELSE '' END AS label
             FROM (SELECT DISTINCT p_name FROM part) WHERE contains(lower(p_name), lower('RED'))""",
+        "review_decisions": """WITH q AS (SELECT p_partkey AS pos, 'f' || p_partkey AS stem, p_name AS suggested,
+              CASE WHEN p_partkey = 350 THEN 'stop' WHEN p_partkey % 5 = 0 THEN 'no' WHEN p_partkey % 7 = 0 THEN 'keep' WHEN p_partkey % 11 = 0 THEN NULL ELSE 'yes' END AS decision,
+              CASE WHEN p_partkey % 13 = 0 THEN 'own ' || CAST(p_partkey % 3 AS VARCHAR) WHEN p_partkey % 17 = 0 THEN 'known' END AS chosen FROM part WHERE p_partkey < 400),
+            e AS (SELECT min(pos) AS e FROM q WHERE decision = 'stop'),
+            t AS (SELECT q.*, coalesce(pos >= e, false) AS over_, CASE WHEN NOT coalesce(pos >= e, false) THEN CASE decision WHEN 'yes' THEN coalesce(chosen, suggested) WHEN 'keep' THEN stem END END AS title FROM q, e),
+            w AS (SELECT *, title IS NOT NULL AND row_number() OVER (PARTITION BY title ORDER BY pos) = 1 AS won FROM t),
+            o AS (SELECT *, CASE WHEN over_ THEN 'left' WHEN decision = 'no' THEN 'refused' WHEN title IS NULL THEN 'left' WHEN NOT won THEN 'claimed' WHEN decision = 'keep' THEN 'kept' ELSE 'linked' END AS outcome FROM w)
+            SELECT pos, stem, outcome, CASE WHEN outcome IN ('linked', 'kept') THEN title END AS title,
+              CASE WHEN outcome IN ('linked', 'kept') THEN CASE WHEN title = suggested OR decision = 'keep' THEN 'Human-Confirmed' WHEN title = 'known' OR title IN (SELECT suggested FROM q) THEN 'Human-Selected' ELSE 'Human-Entered' END END AS matched_via FROM o""",
+        "run_counters": """WITH r AS (SELECT p_name AS stem, CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN p_partkey % 5 <> 0 THEN 'other' END AS t,
+              CASE WHEN p_partkey % 3 = 0 THEN 'c' WHEN p_partkey % 4 = 0 THEN 'l' ELSE 'm' END AS m FROM part)
+            SELECT count(*) AS files, count(t) AS matched, count(*) FILTER (t = stem) AS already_correct, count(*) FILTER (m = 'c') AS from_cache,
+              count(*) FILTER (m = 'l') AS low_confidence, count(*) FILTER (t IS NULL) AS unmatched FROM r""",
+        "already_correct": "SELECT p_partkey, p_name IN (SELECT p_name FROM part WHERE p_partkey % 40 = 0) AS is_correct FROM part",
+        "file_order": """WITH f AS (SELECT p_partkey AS pos, p_partkey // 4 AS g, p_partkey % 4 AS k FROM part WHERE p_partkey % 3 <> 0)
+            SELECT pos, row_number() OVER (ORDER BY k = 1 AND EXISTS (SELECT 1 FROM f p WHERE p.g = f.g AND p.k = 0), pos) - 1 AS place FROM f""",
     }
