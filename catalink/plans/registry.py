@@ -97,15 +97,16 @@ def blank_pool_match(spark, sf):
 
 
 def hamming_match(spark, sf):
-    """Signs of an embedding are a hash of 64 bits; vectors of a number divisible by 5 look for the nearest of 500 others.
+    """Signs of an embedding are a hash of 64 bits; vectors of a number divisible by 100 look for the nearest of all others.
 
-    A declared fixture: at most 20 bits, 3 less than the next one."""
+    A declared fixture: at most 20 bits, 3 less than the next one. The queries are a stated set against all rows."""
     bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
     v = table(spark, sf, "embeddings").select("vec_id", F.array(bits).alias("h"))
-    queries_, known = v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0 and vec_id < 2000")
-    pairs = queries_.select(F.col("vec_id").alias("file_id"), F.col("h").alias("a")).join(F.broadcast(known.select(F.col("vec_id").alias("item_id"), F.col("h").alias("b"))))  # below 1600 rows
+    asked = small(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("file_id"), F.col("h").alias("a")))
+    pairs = v.select(F.col("vec_id").alias("item_id"), F.col("h").alias("b")).join(asked, F.col("file_id") != F.col("item_id"))
     best = top2(pairs.select("file_id", "item_id", T.hamming("a", "b").alias("distance")), "file_id", "item_id", "distance", 999, smallest=True)
-    return best.where("distance <= 20 and runner_up - distance >= 3").select("file_id", "item_id", F.col("distance").cast("long"), F.col("runner_up").cast("long"))
+    near = (F.col("distance") <= 20) & (F.col("runner_up") - F.col("distance") >= 3)
+    return best.select("file_id", "item_id", F.col("distance").cast("long"), F.col("runner_up").cast("long"), near.alias("accepted"))
 
 
 def phrase_match(spark, sf):
@@ -123,9 +124,9 @@ def _sha(spark, sf):
 
 
 def fingerprint_join(spark, sf):
-    """Documents below number 100 fill the cache."""
+    """Labelled documents fill the cache."""
     d = _sha(spark, sf)
-    cache = d.where("doc_id < 100").groupBy("sha256").agg(F.concat(F.lit("title "), F.min("doc_id")).alias("title"))
+    cache = d.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id").groupBy("sha256").agg(F.concat(F.lit("title "), F.min("doc_id")).alias("title"))
     return d.join(cache, "sha256").select("doc_id", "title")
 
 
@@ -156,7 +157,7 @@ def _parts(spark, sf):
 
 
 def _images(spark, sf):
-    s = table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("TSR"), F.col("p_partkey") % 5 + 2000, F.lit(" "), F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("original_name"))
+    s = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("TSR"), F.col("p_size") % 5 + 2000, F.lit(" "), F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("original_name"))
     clean = T.clean_text("original_name")
     return s.select("pos", "original_name", clean.alias("clean_name"), T.strip_code(clean).alias("core_name"))
 
@@ -175,8 +176,8 @@ def ambiguous_titles(spark, sf):
 
 
 def _names(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 4 = 0")
-    return p.select(F.col("p_partkey").alias("name_id"), T.clean_text("p_name").alias("clean_name"), F.col("p_size").alias("page_count"))
+    p = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("name_id"), F.max("p_size").alias("page_count"))
+    return p.select("name_id", T.clean_text("p_name").alias("clean_name"), "page_count")
 
 
 def legacy_token(spark, sf):
@@ -238,7 +239,7 @@ def title_search(spark, sf):
 
 def suffix_numbering(spark, sf):
     """Plans of a directory of parts: many want one name. The directory's plan is carried out by the driver."""
-    rows = [(f"f{r['p_partkey']}.pdf", r["p_name"]) for r in table(spark, sf, "part").where("p_partkey <= 500").select("p_partkey", "p_name").orderBy("p_partkey").collect()]
+    rows = [(f"f{r['p_partkey']}.pdf", r["p_name"]) for r in table(spark, sf, "part").select("p_partkey", "p_name").orderBy("p_partkey").collect()]
     return spark.createDataFrame(actions.free_names(rows, [old for old, _ in rows]), "old string, new string")
 
 
@@ -249,11 +250,11 @@ def undo_plan(spark, sf):
 
 
 def review_decisions(spark, sf):
-    """Parts below number 400 are a queue; numbers decide, and a stop comes at 350."""
-    p = table(spark, sf, "part").where("p_partkey < 400")
+    """Parts are a queue; numbers decide, and a stop comes at 3001."""
+    p = table(spark, sf, "part")
     n = F.col("p_partkey")
     queue = p.select(n.alias("pos"), F.concat(F.lit("f"), n).alias("stem"), F.col("p_name").alias("suggested"))
-    how = F.when(n == 350, "stop").when(n % 5 == 0, "no").when(n % 7 == 0, "keep").when(n % 11 == 0, F.lit(None)).otherwise("yes")
+    how = F.when(n == 3001, "stop").when(n % 5 == 0, "no").when(n % 7 == 0, "keep").when(n % 11 == 0, F.lit(None)).otherwise("yes")
     chosen = F.when(n % 13 == 0, F.concat(F.lit("own "), n % 3)).when(n % 17 == 0, F.lit("known"))
     titles = p.select(F.col("p_name").alias("title")).union(spark.createDataFrame([("known",)], "title string"))
     return review.decided(queue, p.select(n.alias("pos"), how.alias("decision"), chosen.alias("chosen_title")), titles)

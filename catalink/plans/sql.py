@@ -67,10 +67,10 @@ p0 AS (SELECT p_partkey AS pos,
 p1 AS (SELECT *, {clean('title')} AS clean_title, {clean("regexp_replace(base, '[.][^.]*$', '')")} AS application_clean, NOT base LIKE '%.lnk' AS is_document FROM p0),
 parts AS MATERIALIZED (SELECT *, {strip_code('clean_title')} AS core_title, {strip_any('clean_title')} AS bare FROM p1)"""
 IMAGES = f"""
-i0 AS (SELECT p_partkey AS pos, 'TSR' || CAST(p_partkey % 5 + 2000 AS VARCHAR) || ' ' || p_name || ' ' || p_brand AS original_name FROM part WHERE p_partkey % 3 = 0),
+i0 AS (SELECT p_partkey AS pos, 'TSR' || CAST(p_size % 5 + 2000 AS VARCHAR) || ' ' || p_name || ' ' || p_brand AS original_name FROM part),
 i1 AS (SELECT *, {clean('original_name')} AS clean_name FROM i0),
 images AS MATERIALIZED (SELECT *, {strip_code('clean_name')} AS core_name FROM i1)"""
-NAMES = f"names AS MATERIALIZED (SELECT p_partkey AS name_id, {clean('p_name')} AS clean_name, p_size AS page_count FROM part WHERE p_partkey % 4 = 0)"
+NAMES = f"names AS MATERIALIZED (SELECT min(p_partkey) AS name_id, {clean('p_name')} AS clean_name, max(p_size) AS page_count FROM part GROUP BY p_name)"
 LATEST = "SELECT * FROM events WHERE {} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
 
 
@@ -99,13 +99,13 @@ def oracles() -> dict[str, str]:
         "blank_pool_match": f"""{BASE}, even AS (SELECT * FROM overlap WHERE item_id % 2 = 0)
             SELECT file_id, item_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up FROM {best('even')} WHERE score >= 0.5 AND round(score - runner_up, 9) >= 0.4""",
         "hamming_match": f"""WITH pairs AS (SELECT a.vec_id AS file_id, b.vec_id AS item_id, {bits} AS distance FROM embeddings a, embeddings b
-              WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0 AND b.vec_id < 2000)
-            SELECT file_id, item_id, score AS distance, CAST(runner_up AS BIGINT) AS runner_up FROM {best('pairs', 'distance', '999', 'ASC')} WHERE score <= 20 AND runner_up - score >= 3""",
+              WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+            SELECT file_id, item_id, score AS distance, CAST(runner_up AS BIGINT) AS runner_up, score <= 20 AND runner_up - score >= 3 AS accepted FROM {best('pairs', 'distance', '999', 'ASC')}""",
         "shingle_candidates": f"""WITH {FILES}, {ENTRIES},
             fs AS (SELECT DISTINCT file_id, s FROM (SELECT file_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) AS s FROM (SELECT file_id, string_split(text, ' ') AS w FROM files))),
             es AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) AS s FROM (SELECT item_id, string_split(clean_notes, ' ') AS w FROM entries)))
             SELECT file_id, item_id, count(*) AS shared FROM fs JOIN es USING (s) GROUP BY ALL""",
-        "fingerprint_join": f"WITH {SHA}, cache AS (SELECT sha, 'title ' || min(doc_id) AS title FROM d WHERE doc_id < 100 GROUP BY sha) SELECT doc_id, title FROM d JOIN cache USING (sha)",
+        "fingerprint_join": f"WITH {SHA}, cache AS (SELECT sha, 'title ' || min(doc_id) AS title FROM d WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY sha) SELECT doc_id, title FROM d JOIN cache USING (sha)",
         "duplicate_groups": f"""WITH {SHA},
             n AS (SELECT source || ' ' || CAST(doc_id // 80 AS VARCHAR) AS base, (doc_id // 20) % 4 + 1 AS k, sha FROM d),
             grouped AS (SELECT base, count(*) AS members, count(DISTINCT sha) AS distinct_hashes, bool_or(k = 1) AS plain, bool_or(k > 1) AS numbered FROM n GROUP BY base)
@@ -158,8 +158,8 @@ def oracles() -> dict[str, str]:
         "title_search": """SELECT p_name || CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_partkey % 50 = 0) THEN ' (already assigned)' ELSE '' END AS label
             FROM (SELECT DISTINCT p_name FROM part) WHERE contains(lower(p_name), lower('RED'))""",
         "review_decisions": """WITH q AS (SELECT p_partkey AS pos, 'f' || p_partkey AS stem, p_name AS suggested,
-              CASE WHEN p_partkey = 350 THEN 'stop' WHEN p_partkey % 5 = 0 THEN 'no' WHEN p_partkey % 7 = 0 THEN 'keep' WHEN p_partkey % 11 = 0 THEN NULL ELSE 'yes' END AS decision,
-              CASE WHEN p_partkey % 13 = 0 THEN 'own ' || CAST(p_partkey % 3 AS VARCHAR) WHEN p_partkey % 17 = 0 THEN 'known' END AS chosen FROM part WHERE p_partkey < 400),
+              CASE WHEN p_partkey = 3001 THEN 'stop' WHEN p_partkey % 5 = 0 THEN 'no' WHEN p_partkey % 7 = 0 THEN 'keep' WHEN p_partkey % 11 = 0 THEN NULL ELSE 'yes' END AS decision,
+              CASE WHEN p_partkey % 13 = 0 THEN 'own ' || CAST(p_partkey % 3 AS VARCHAR) WHEN p_partkey % 17 = 0 THEN 'known' END AS chosen FROM part),
             e AS (SELECT min(pos) AS e FROM q WHERE decision = 'stop'),
             t AS (SELECT q.*, coalesce(pos >= e, false) AS over_, CASE WHEN NOT coalesce(pos >= e, false) THEN CASE decision WHEN 'yes' THEN coalesce(chosen, suggested) WHEN 'keep' THEN stem END END AS title FROM q, e),
             w AS (SELECT *, title IS NOT NULL AND row_number() OVER (PARTITION BY title ORDER BY pos) = 1 AS won FROM t),

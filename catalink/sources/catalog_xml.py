@@ -11,7 +11,7 @@ _ENTRY = "array<struct<Title:string,Notes:string,ReleaseYear:string,ApplicationP
 _COLUMNS = "pos long, title string, notes string, year string, application_path string"
 
 
-def read_catalog(spark: SparkSession, path: str, root: str = "LaunchBox", element: str = "Game") -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, root: str = "Catalog", element: str = "Game") -> DataFrame:
     """``pos, title, notes, year, application_path``; a file that can't be read as XML gives no entry."""
     schema = T.StructType([T.StructField(element, T._parse_datatype_string(_ENTRY))])
     try:

@@ -3,7 +3,7 @@ from catalink.sources import catalog_xml, files, state_files
 
 def test_catalog_keeps_document_order(spark, tmp_path):
     path = tmp_path / "c.xml"
-    path.write_text("<LaunchBox><Game><Title>B</Title><Notes/></Game><Game><Title>A</Title><ReleaseYear>1980</ReleaseYear></Game></LaunchBox>")
+    path.write_text("<Catalog><Game><Title>B</Title><Notes/></Game><Game><Title>A</Title><ReleaseYear>1980</ReleaseYear></Game></Catalog>")
     got = catalog_xml.read_catalog(spark, str(path)).orderBy("pos").collect()
     assert [(r["pos"], r["title"], r["year"]) for r in got] == [(0, "B", None), (1, "A", "1980")]
 
