@@ -30,6 +30,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Cache(dict):
+    """Ids by chunk; one that is missing is made, and a full cache is emptied first."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        ids = self[chunk] = self.make(chunk)
+        return ids
+
+
 class Encoder:
     """Encodes texts with one vocabulary file; ids below 65536 as little-endian 16-bit bytes."""
 
@@ -41,56 +55,42 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.spaces = spaces
-        self.letters = _byte_letters()
-        self.joined: dict[str, bytes] = {}  # by chunk, its leading space left out if ``spaces``
-        self.exact: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _model(self, piece: str) -> bytes:
-        if (got := self.words.get(piece)) is None:
-            shown = "".join(map(self.letters.__getitem__, piece.encode()))
-            got = np.array([t.id for t in self.library.model.tokenize(shown)], "<u2").tobytes()
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            self.words[piece] = got
-        return got
-
-    def _learn(self, cache: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        if len(cache) + len(chunks) > CACHED:
-            cache.clear()
-        slow = []
-        for c in chunks:
-            new_line = self.spaces and c[0] == "\n"
-            if m := _PLAIN.fullmatch(c, new_line):
-                word = ("" if new_line else lead) + m[1] if self.spaces else m[1].lower()
-                cache[c] = (self._model("\n") if new_line else b"") + self._model(word) + (self._model(m[2]) if m[2] else b"")
-            else:
-                slow.append(c)
-        if slow:
-            whole = [c if c.startswith("\n") else lead + c for c in slow]
-            for c, e in zip(slow, self.library.encode_batch_fast(whole, add_special_tokens=False)):
-                cache[c] = np.array(e.ids, "<u2").tobytes()
-
-    def _through(self, cache: dict[str, bytes], chunks: list[str], lead: str = "") -> bytes:
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            need = set(chunks)
-            new = {c for c in need if c not in cache}
-            if len(cache) + len(new) > CACHED:  # the cache is emptied, so all are learnt anew
-                new = need
-            self._learn(cache, new, lead)
-            return b"".join(map(cache.__getitem__, chunks))
+        letters, two, model = _byte_letters(), [i.to_bytes(2, "little") for i in range(1 << 16)], self.library.model
+
+        def pre_token(piece: str) -> bytes:
+            shown = "".join(map(letters.__getitem__, piece.encode()))
+            return b"".join([two[t.id] for t in model.tokenize(shown)])
+
+        self.words = _Cache(pre_token)
+        self.joined = _Cache(self._after_space if spaces else self._folded)  # a chunk that follows a space, or stands alone
+        self.exact = _Cache(self._whole)
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _after_space(self, chunk: str) -> bytes:
+        new_line = chunk[:1] == "\n"
+        if not (m := _PLAIN.fullmatch(chunk, new_line)):
+            return self._whole(chunk if new_line else " " + chunk)
+        ids = self.words["\n"] + self.words[m[1]] if new_line else self.words[" " + m[1]]
+        return ids + self.words[m[2]] if m[2] else ids
+
+    def _folded(self, chunk: str) -> bytes:
+        if not (m := _PLAIN.fullmatch(chunk)):
+            return self._whole(chunk)
+        ids = self.words[m[1].lower()]
+        return ids + self.words[m[2]] if m[2] else ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        joined = self.joined.__getitem__
         if not self.spaces:
-            return self._through(self.joined, [c for c in text.replace("\n", " ").split(" ") if c])
+            return b"".join(map(joined, text.replace("\n", " ").split(" ")))
         chunks = text.replace("\n", " \n").split(" ")
         if _OTHER_SPACE.search(text) or "" in chunks or "\n" in chunks:
-            return self._through(self.exact, _BETWEEN.split(text))
-        return self._through(self.exact, chunks[:1]) + self._through(self.joined, chunks[1:], " ")
+            return b"".join(map(self.exact.__getitem__, _BETWEEN.split(text)))
+        return self.exact[chunks[0]] + b"".join(map(joined, chunks[1:]))
 
 
 @lru_cache(maxsize=4)
