@@ -151,7 +151,7 @@ class Languages:
         ]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def languages(samples: tuple[tuple[str, str], ...], how: Parsing) -> Languages:
     """Built once in a worker, kept between tasks."""
     return Languages(samples, how)
@@ -163,8 +163,10 @@ def sampled(docs: DataFrame, how: Parsing = Parsing()) -> tuple[tuple[str, str],
     At most ``languages`` x ``rows`` excerpts of ``excerpt`` code points reach the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", F.xxhash64("text").alias("h"), "text")
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(how.languages).select("lang")
-    slim = rows.select("lang", "h").join(F.broadcast(common), "lang").distinct()
+    common = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "lang").limit(how.languages).select("lang", "d")
+    # a share of the hashes that leaves about four times the texts wanted, so a language of very many texts is no large window
+    low = F.pmod("h", F.lit(1 << 31)).cast("double") * F.col("d") < float(4 * how.rows << 31)
+    slim = rows.select("lang", "h").join(F.broadcast(common), "lang").where(low).select("lang", "h").distinct()
     picked = stored(slim.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= how.rows).drop("k"), "picked")
     texts = rows.withColumn("text", F.substring("text", 1, how.excerpt)).join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
     out: dict[str, list[str]] = {}
