@@ -38,6 +38,7 @@ class Coding:
     block: int = 1 << 16  #: ids
     together: int = 16  #: blocks that are coded in lockstep
     file_blocks: int = 256
+    cached: int = 900_000  #: entries of each of the tokenizer's caches
 
 
 class Table:
@@ -190,7 +191,7 @@ def tokenized(docs: DataFrame, how: Coding = Coding()) -> DataFrame:
     def run(batches):
         import zstandard
 
-        enc, pack, end = encoder(path, True), zstandard.ZstdCompressor(level=3), how.end.to_bytes(2, "little")
+        enc, pack, end = encoder(path, True, how.cached), zstandard.ZstdCompressor(level=3), how.end.to_bytes(2, "little")
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)

@@ -33,12 +33,12 @@ def _byte_letters() -> dict[int, str]:
 class _Cache(dict):
     """Ids by chunk; one that is missing is made, and a full cache is emptied first."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHED:
+        if len(self) >= self.most:
             self.clear()
         ids = self[chunk] = self.make(chunk)
         return ids
@@ -47,7 +47,7 @@ class _Cache(dict):
 class Encoder:
     """Encodes texts with one vocabulary file; ids below 65536 as little-endian 16-bit bytes."""
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, cached: int = CACHED):
         """``spaces``: a lone space belongs to the pre-token after it; else white space is dropped and case folded."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -61,9 +61,9 @@ class Encoder:
             shown = "".join(map(letters.__getitem__, piece.encode()))
             return b"".join([two[t.id] for t in model.tokenize(shown)])
 
-        self.words = _Cache(pre_token)
-        self.joined = _Cache(self._after_space if spaces else self._folded)  # a chunk that follows a space, or stands alone
-        self.exact = _Cache(self._whole)
+        self.words = _Cache(pre_token, cached)
+        self.joined = _Cache(self._after_space if spaces else self._folded, cached)  # a chunk that follows a space, or stands alone
+        self.exact = _Cache(self._whole, cached)
 
     def _whole(self, chunk: str) -> bytes:
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
@@ -94,9 +94,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaces: bool) -> Encoder:
+def encoder(path: str, spaces: bool, cached: int = CACHED) -> Encoder:
     """One encoder for each vocabulary in a worker, kept between tasks."""
-    return Encoder(path, spaces)
+    return Encoder(path, spaces, cached)
 
 
 def vocabulary(name: str) -> str:
