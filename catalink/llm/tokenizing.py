@@ -2,7 +2,7 @@
 
 The vocabularies split a text into pre-tokens before any merge, so a text can be
 cut at places that are certain to lie between two pre-tokens, and each chunk
-encoded once. Chunks that are letters and then punctuation go straight to the
+encoded once. Added tokens ('<|endoftext|>') are cut out first, as the library does. Chunks that are letters and then punctuation go straight to the
 library's model; every other chunk goes through the library's whole encoding.
 """
 
@@ -53,8 +53,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.spaces = spaces
+        added = self.library.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens must match as they stand")
+        self.added = {t.content: int(i).to_bytes(2, "little") for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         letters, two, model = _byte_letters(), [i.to_bytes(2, "little") for i in range(1 << 16)], self.library.model
 
         def pre_token(piece: str) -> bytes:
@@ -84,6 +88,12 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added.get(part) or self._part(part) for part in self.cut.split(text) if part)
+        return self._part(text)
+
+    def _part(self, text: str) -> bytes:
+        """A text, not empty, without added tokens."""
         joined = self.joined.__getitem__
         if not self.spaces:
             return b"".join(map(joined, text.replace("\n", " ").split(" ")))

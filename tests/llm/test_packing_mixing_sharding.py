@@ -19,6 +19,16 @@ def test_cached_ids_equal_the_librarys(name, spaces):
         assert np.frombuffer(got, "<u2").tolist() == enc.library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_are_the_librarys(name, spaces):
+    from tokenizers import Tokenizer
+
+    enc, plain = Encoder(vocabulary(name), spaces), Tokenizer.from_file(vocabulary(name))
+    for e in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"):
+        for t in (f"a {e} b", e, e + e, f"x{e}", f"{e}\n\nNext text", f"one\n{e} \n two's  {e}.", f"<|{e}|>", f"{e}\u0338 é"):
+            assert np.frombuffer(enc.encode(t), "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_differencing_spreads_evenly():
     sizes = np.random.default_rng(1).integers(1, 1025, 600)
     window, sums = packing.difference(sizes, 80)
