@@ -28,9 +28,8 @@ UNDETERMINED = "und"
 class Parsing:
     rows: int = 200  #: texts of a language, at most, in the sample
     excerpt: int = 2000  #: code points of each that the sample takes
-    letters: int = 40_000  #: letters of a language, at most, in its automaton
-    languages: int = 64  #: the most frequent ones that are learnt
-    alphabet: int = 64  #: the commonest letters have a number of their own; the rest share one
+    letters: int = 40_000  #: code points of a language, at most, in its automaton, drawn evenly from its excerpts
+    alphabet: int = 64  #: symbols; if the samples have more letters, the rarer ones are written as two or three
     lane: int = 256  #: letters that are parsed in a row
     bits: float = 4.0  #: by which a language must be cheaper to be e times as likely
 
@@ -69,6 +68,35 @@ def automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
     return out
 
 
+def _codes(letters: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, how many of them) of 0, 1 and each letter from 2 on; the commonest letters have one, no two the same."""
+    trail = leads = 0
+    while symbols - leads + leads * symbols**trail * (trail > 0) < letters:
+        trail, leads = (trail, leads + 1) if trail and leads < symbols // 2 else (trail + 1, 1)
+    single = min(letters, symbols - leads)
+    codes, lengths = np.zeros((letters + 2, trail + 1), np.uint8), np.ones(letters + 2, np.int64)
+    codes[1, 0] = 1
+    codes[2 : single + 2, 0] = np.arange(single) + 2
+    if letters > single:
+        rest = np.arange(letters - single)
+        codes[single + 2 :, 0] = rest // symbols**trail + 2 + symbols - leads
+        for k in range(trail):
+            codes[single + 2 :, 1 + k] = rest // symbols ** (trail - 1 - k) % symbols + 2
+        lengths[single + 2 :] = trail + 1
+    return codes, lengths
+
+
+def even(texts: list[str], letters: int) -> list[str]:
+    """The starts of all texts, as long as they may all be for ``letters`` code points together."""
+    left, share = letters, 0
+    for i, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - i)
+        if n > share:
+            break
+        left, share = left - n, n
+    return [t[:share] for t in texts]
+
+
 class Languages:
     """Automata of several languages, and the numbers that letters have in them."""
 
@@ -79,27 +107,31 @@ class Languages:
             for c in text.lower():
                 if c.isalpha():
                     seen[c] = seen.get(c, 0) + 1
-        own = sorted(seen, key=lambda c: (-seen[c], c))[: how.alphabet - 2]
-        # 0: anything but a letter; 1: a letter without a number of its own
-        self.number = np.ones(0x110000, np.uint8)
+        own = sorted(seen, key=lambda c: (-seen[c], c))
+        # 0: anything but a letter; 1: a letter that no sample has; others: a row of ``codes``, of symbols from 2 on
+        self.codes, self.lengths = _codes(len(own), how.alphabet - 2)
+        self.number = np.zeros(0x110000, np.uint32)
         known = {c: i + 2 for i, c in enumerate(own)}
-        for cp in range(0x3000):
-            c = chr(cp)
-            self.number[cp] = known.get(c.lower()[:1], 1) if c.isalpha() else 0
+        for cp in range(0x110000):
+            if (c := chr(cp)).isalpha():
+                self.number[cp] = known.get(c.lower()[:1], 1)
         for c, i in known.items():
             self.number[ord(c)] = i
-        texts = [self.numbers(t)[: how.letters] for _, t in samples]
+        texts = [self.numbers(t) for _, t in samples]
         tables = [automaton(t, how.alphabet) for t in texts]
         self.base = (np.concatenate([[0], np.cumsum([len(t) for t in tables])[:-1]]) * how.alphabet).astype(np.int64)[:, None]
         self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
         self.cost = np.log2(np.array([len(t) for t in texts]) + 2.0)
 
     def numbers(self, text: str) -> np.ndarray:
-        """Letters by number, anything between them as one 0."""
+        """Letters by symbols, anything between them as one 0."""
         n = self.number[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         keep = n != 0
         keep[1:] |= n[:-1] != 0
-        return n[keep]
+        n = n[keep]
+        if self.codes.shape[1] == 1:
+            return n.astype(np.uint8)
+        return self.codes[n][np.arange(self.codes.shape[1]) < self.lengths[n][:, None]]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(languages, texts): phrases of each text's parse; a lane's last phrase counts as whole."""
@@ -160,10 +192,10 @@ def languages(samples: tuple[tuple[str, str], ...], how: Parsing) -> Languages:
 def sampled(docs: DataFrame, how: Parsing = Parsing()) -> tuple[tuple[str, str], ...]:
     """(language, text) of the languages: a bounded sample of rows that are not held out, picked by hash of the text.
 
-    At most ``languages`` x ``rows`` excerpts of ``excerpt`` code points reach the driver.
+    Every language is learnt. At most ``rows`` excerpts a language of ``excerpt`` code points reach the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", F.xxhash64("text").alias("h"), "text")
-    common = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "lang").limit(how.languages).select("lang", "d")
+    common = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("d")).select("lang", "d")
     # a share of the hashes that leaves about four times the texts wanted, so a language of very many texts is no large window
     low = F.pmod("h", F.lit(1 << 31)).cast("double") * F.col("d") < float(4 * how.rows << 31)
     slim = rows.select("lang", "h").join(F.broadcast(common), "lang").where(low).select("lang", "h").distinct()
@@ -172,7 +204,7 @@ def sampled(docs: DataFrame, how: Parsing = Parsing()) -> tuple[tuple[str, str],
     out: dict[str, list[str]] = {}
     for r in texts:
         out.setdefault(r["lang"], []).append(r["text"])
-    return tuple((lang, "\n".join(t)) for lang, t in sorted(out.items()))
+    return tuple((lang, "\n".join(even(t, how.letters))) for lang, t in sorted(out.items()))
 
 
 def identified(docs: DataFrame, how: Parsing = Parsing()) -> DataFrame:

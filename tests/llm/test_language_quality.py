@@ -49,6 +49,36 @@ def test_und_and_edges(odd, none):
     assert kept.columns == odd.columns and 2 not in [r["doc_id"] for r in kept.collect()]
 
 
+def test_letters_of_all_scripts_are_told_apart():
+    for letters in (5, 62, 63, 500, 1891, 1892, 5000, 20_000):
+        codes, lengths = language._codes(letters, 62)
+        seen = {tuple(c[:n]) for c, n in zip(codes.tolist(), lengths)}
+        assert len(seen) == letters + 2 and codes.max() < 64
+        assert not any(c[:k] in seen for c in seen for k in range(1, len(c)))
+    rng = np.random.default_rng(2)
+    words = lambda lo, n: " ".join("".join(chr(lo + x) for x in rng.integers(0, n, 5)) for _ in range(300))
+    latin = [(f"l{i}", words(0x61, 26) + words(0xE0, 20)) for i in range(3)]
+    alphabets = [(0x3B1, 17), (0x5D0, 27), (0x430, 32), (0xE01, 46), (0x3042, 80), (0x3042 + 0x60, 80), (0x4E00, 1500), (0x5E00, 1500)]
+    model = language.Languages((*latin, *((f"s{i}", words(*a)) for i, a in enumerate(alphabets))), language.Parsing())
+    got = model.judge([words(*a) for a in alphabets])
+    assert [g[0] for g in got] == [f"s{i}" for i in range(len(alphabets))]
+
+
+def test_samples_are_drawn_evenly():
+    assert language.even(["a" * 10, "b" * 2, "c" * 9], 12) == ["a" * 5, "bb", "c" * 5]
+    assert language.even(["a", "bb"], 99) == ["a", "bb"] and language.even([], 9) == []
+
+
+def test_all_languages_are_learnt(spark):
+    rng = np.random.default_rng(3)
+    names = [f"{i:02}" for i in range(70)]
+    own = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for n in names}
+    rows = [(70 * k + i, " ".join(rng.choice(own[n], 12)), n) for k in range(3) for i, n in enumerate(names)]
+    got = language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language.Parsing(letters=400)).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert len({r["lang_pred"] for r in got}) == 70 and all(r["lang_pred"] == want[r["doc_id"]] for r in got)
+
+
 def test_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.identified(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
