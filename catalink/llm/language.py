@@ -22,6 +22,8 @@ from catalink.llm.shared import documents, held_out, stored
 
 _LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
+STRANGER = 1.7  #: times as many phrases a letter as the 0.99 quantile are those of a language not learnt
+ROOM = 6  #: phrases that a text of any length may have besides; the fewer letters, the more this allows
 
 
 @dataclass(frozen=True)
@@ -189,8 +191,8 @@ def languages(samples: tuple[tuple[str, str], ...], how: Parsing) -> Languages:
     return Languages(samples, how)
 
 
-def sampled(docs: DataFrame, how: Parsing = Parsing()) -> tuple[tuple[str, str], ...]:
-    """(language, text) of the languages: a bounded sample of rows that are not held out, picked by hash of the text.
+def excerpts(docs: DataFrame, how: Parsing = Parsing()) -> list[tuple[str, list[str]]]:
+    """(language, texts) of the languages: a bounded sample of rows that are not held out, picked by hash of the text.
 
     Every language is learnt. At most ``rows`` excerpts a language of ``excerpt`` code points reach the driver.
     """
@@ -204,7 +206,34 @@ def sampled(docs: DataFrame, how: Parsing = Parsing()) -> tuple[tuple[str, str],
     out: dict[str, list[str]] = {}
     for r in texts:
         out.setdefault(r["lang"], []).append(r["text"])
-    return tuple((lang, "\n".join(even(t, how.letters))) for lang, t in sorted(out.items()))
+    return [(lang, even(t, how.letters)) for lang, t in sorted(out.items())]
+
+
+def joined(texts: list[tuple[str, list[str]]]) -> tuple[tuple[str, str], ...]:
+    return tuple((lang, "\n".join(t)) for lang, t in texts)
+
+
+def sampled(docs: DataFrame, how: Parsing = Parsing()) -> tuple[tuple[str, str], ...]:
+    """(language, text) of the languages, of ``excerpts``."""
+    return joined(excerpts(docs, how))
+
+
+def limits(texts: list[tuple[str, list[str]]], most: float, how: Parsing = Parsing()) -> dict[str, float]:
+    """Phrases a letter, beyond ``ROOM``, that texts of each language may have: ``STRANGER`` times what 99 % of its excerpts need.
+
+    Each half of the excerpts is judged by what the other half teaches. A language of a single
+    excerpt has the largest limit of the others, ``most`` if there is none.
+    """
+    rates: dict[str, list[float]] = {}
+    for half in (0, 1):
+        model = Languages(joined([(lang, t[half::2]) for lang, t in texts if len(t) > 1]), how)
+        for i, lang in enumerate(model.names):
+            numbers = [n for t in dict(texts)[lang][1 - half :: 2] if len(n := model.numbers(t))]
+            if numbers:
+                phrases = model.phrases(numbers)[i]
+                rates.setdefault(lang, []).extend(np.maximum(phrases - ROOM, 0) / [len(n) for n in numbers])
+    found = {lang: STRANGER * float(np.quantile(r, 0.99)) for lang, r in rates.items()}
+    return {lang: found.get(lang, max(found.values(), default=most)) for lang, _ in texts}
 
 
 def identified(docs: DataFrame, how: Parsing = Parsing()) -> DataFrame:
@@ -229,18 +258,23 @@ def identified(docs: DataFrame, how: Parsing = Parsing()) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, most: float = 0.7, how: Parsing = Parsing()) -> DataFrame:
-    """The rows of ``docs`` that have letters and of which the best language makes phrases longer than single letters."""
-    samples = docs.sparkSession.sparkContext.broadcast(sampled(docs, how))
+    """The rows of ``docs`` that have letters and of which the best language needs no more phrases than ``limits`` and ``ROOM`` allow."""
+    texts = excerpts(docs, how)
+    samples = docs.sparkSession.sparkContext.broadcast(joined(texts))
+    limit = limits(texts, most, how)
 
     def run(batches):
         model = languages(samples.value, how)
+
+        def fits(name, rate, text):
+            return name != UNDETERMINED and (rate <= limit[name] or (rate - limit[name]) * len(model.numbers(text)) <= ROOM)
+
         for batch in batches:
             at = batch.schema.names.index("text")
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                found = model.judge(part.column(at).to_pylist())
-                # a text of a few letters has too few phrases to tell
-                keep = [n != UNDETERMINED and (p <= most or len(t.as_py()) < 20) for (n, _, p), t in zip(found, part.column(at))]
+                texts = part.column(at).to_pylist()
+                keep = [fits(n, p, t) for (n, _, p), t in zip(model.judge(texts), texts)]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

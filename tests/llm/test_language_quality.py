@@ -79,6 +79,19 @@ def test_all_languages_are_learnt(spark):
     assert len({r["lang_pred"] for r in got}) == 70 and all(r["lang_pred"] == want[r["doc_id"]] for r in got)
 
 
+FINNISH = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+
+
+def test_strange_texts_go_and_clean_ones_stay(spark):
+    rng = np.random.default_rng(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(40)) for _ in range(30)]
+    strange = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate([FINNISH, POLISH, *noise])], docs.schema)
+    kept = {r["doc_id"] for r in language.in_known_language(docs.union(strange)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
 def test_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.identified(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
