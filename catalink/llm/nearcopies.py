@@ -166,9 +166,10 @@ def labelled(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
-    """The document of the smallest id of each component; of rows of that id, one."""
+    """One row of each component: of its smallest id (null only if it has no other), and of that id's texts one."""
     labels = stored(labelled(docs, how), "labels")
-    keep = labels.groupBy("root").agg(F.min("doc_id").alias("id")).select(F.coalesce("id", F.lit(0)).alias("nd_key"), F.col("id").isNull().alias("nd_null")).distinct()
-    rows = docs.withColumns({"nd_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "nd_n": F.col("doc_id").isNull()})
-    kept = rows.join(keep, (F.col("nd_k") == F.col("nd_key")) & (F.col("nd_n") == F.col("nd_null")), "left_semi")
-    return kept.dropDuplicates(["nd_k", "nd_n"]).select(*docs.columns)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nd_null"), F.coalesce("doc_id", F.lit(0)).alias("nd_key"), F.col("text_key").alias("nd_text")))
+    keep = labels.groupBy("root").agg(least.alias("nd_row")).select("nd_row.*")
+    names = {"nd_n": F.col("doc_id").isNull(), "nd_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "nd_t": F.xxhash64("text")}
+    kept = docs.withColumns(names).join(keep, (F.col("nd_n") == F.col("nd_null")) & (F.col("nd_k") == F.col("nd_key")) & (F.col("nd_t") == F.col("nd_text")), "left_semi")
+    return kept.dropDuplicates([*names]).select(*docs.columns)

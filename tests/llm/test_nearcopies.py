@@ -52,3 +52,10 @@ def test_odd_rows_of_near_copies(odd, none):
     assert nearcopies.one_of_each(none).count() == 0
     got = nearcopies.one_of_each(odd)
     assert got.columns == odd.columns and {r["doc_id"] for r in got.collect()} == {1, 2, None, 4, 5}
+
+
+def test_a_row_of_each_component_stays_whatever_its_id(spark, odd):
+    assert sorted(str(r["doc_id"]) for r in nearcopies.one_of_each(odd).collect()) == sorted(["1", "2", "None", "4", "5", "5"])
+    rows = [(None, f"text number {i} of no id") for i in range(20)] * 2 + [(7, "one of id seven"), (7, "and another")]
+    got = nearcopies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 22 and {tuple(r) for r in got} == set(rows)
