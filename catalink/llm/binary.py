@@ -4,7 +4,7 @@ One frequency table, counted over all ids, is shared by all files. A file holds
 blocks that decode independently; a block's symbols are dealt over lanes whose
 states share one stream of words. Each block's entry in the directory is a
 checkpoint (its place, its states, its first id) with checksums, so blocks can be
-decoded in parallel, here in lockstep by numpy.
+decoded in parallel, here in lockstep by numpy, or each by itself (``read_range``).
 
 File: MAGIC, header, documents, directory, then blocks; integers are little-endian.
 """
@@ -13,15 +13,16 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalink.llm.shared import documents, scratch, stored, width
+from catalink.llm.shared import documents, scratch, slices, stored, width
 from catalink.llm.tokenizing import encoder, vocabulary
 
 MAGIC = b"CLRANS01"
@@ -38,7 +39,7 @@ class Coding:
     block: int = 1 << 16  #: ids
     together: int = 16  #: blocks that are coded in lockstep
     file_blocks: int = 256
-    cached: int = 900_000  #: entries of each of the tokenizer's caches
+    cached: int = 600_000  #: entries of each of the tokenizer's caches
 
 
 class Table:
@@ -60,7 +61,8 @@ class Table:
                 freq[i] -= min(over, int(freq[i]) // 2)
         self.freq = freq.astype(np.uint64)
         self.first = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
+        self.dtype = np.dtype("<u2" if len(freq) <= 1 << 16 else "<u4")
+        self.symbol = np.repeat(np.arange(len(freq), dtype=self.dtype), freq)
         self.common = int(np.argmax(freq))
         self.crc = zlib.crc32(freq.astype("<u4"))
 
@@ -94,7 +96,7 @@ def decode_blocks(states: np.ndarray, words: list[np.ndarray], steps: int, table
     stream = np.concatenate([*words, np.zeros(1, np.uint32)]).astype(np.uint64)
     at = np.concatenate([[0], np.cumsum([len(w) for w in words])[:-1]]).astype(np.int64)
     bits, mask, floor, half = np.uint64(table.bits), np.uint64((1 << table.bits) - 1), np.uint64(1 << 31), np.uint64(32)
-    out = np.empty((blocks, steps, lanes), np.uint16)
+    out = np.empty((blocks, steps, lanes), table.dtype)
     for t in range(steps):
         slot = x & mask
         s = table.symbol[slot]
@@ -120,7 +122,7 @@ def write_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, t
         coded += encode_blocks(ids[lo * size : hi * size].reshape(hi - lo, -1, lanes), table)
     if n % size:
         rest = ids[full * size :]
-        padded = np.full(-(-len(rest) // lanes) * lanes, table.common, np.uint16)
+        padded = np.full(-(-len(rest) // lanes) * lanes, table.common, table.dtype)
         padded[: len(rest)] = rest
         coded += encode_blocks(padded.reshape(1, -1, lanes), table)
     directory, bodies = [], []
@@ -136,46 +138,82 @@ def write_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, t
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(bodies)
 
 
-def read_file(data: bytes, table: Table, how: Coding) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(document ids, lengths, ids); every checksum is verified."""
-    if data[:8] != MAGIC:
+@dataclass
+class _Head:
+    lanes: int
+    size: int  #: ids of a block
+    ids: int
+    entries: list[tuple]  #: of the directory
+    documents: bytes  #: compressed
+    count: int  #: of documents
+    body: int  #: where the first block begins
+
+
+def _head(read: Callable[[int, int], bytes], table: Table) -> _Head:
+    """What a file says of itself; ``read`` gives the bytes at a place."""
+    fixed = 8 + _HEADER.size + 8
+    start = read(0, fixed)
+    if len(start) < fixed or start[:8] != MAGIC:
         raise ValueError("not a file of this format")
-    crc, lanes, size, n_docs, n, blocks = _HEADER.unpack_from(data, 8)
-    at = 8 + _HEADER.size
-    (packed,) = struct.unpack_from("<Q", data, at)
-    at += 8
-    end = at + packed + blocks * _BLOCK.size
-    if zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
+    crc, lanes, size, n_docs, n, blocks = _HEADER.unpack_from(start, 8)
+    (packed,) = struct.unpack_from("<Q", start, 8 + _HEADER.size)
+    rest = read(fixed, packed + blocks * _BLOCK.size + 4)
+    if zlib.crc32(rest[:-4], zlib.crc32(start)) != int.from_bytes(rest[-4:], "little"):
         raise ValueError("the header is damaged")
     if crc != table.crc:
         raise ValueError("written with another frequency table")
-    plain, flags = zlib.decompress(data[at : at + packed]), -(-n_docs // 8)
-    known = np.unpackbits(np.frombuffer(plain, np.uint8, flags), count=n_docs).astype(bool)
-    ids_of = np.frombuffer(plain, "<i8", n_docs, flags).tolist()
-    lengths = np.frombuffer(plain, "<u8", n_docs, flags + 8 * n_docs).astype(np.int64)
-    entries = [_BLOCK.unpack_from(data, at + packed + b * _BLOCK.size) for b in range(blocks)]
-    place, out = end + 4, np.empty(n, np.uint16)
-    bodies = []
+    entries = [_BLOCK.unpack_from(rest, packed + b * _BLOCK.size) for b in range(blocks)]
+    return _Head(lanes, size, n, entries, rest[:packed], n_docs, fixed + len(rest))
+
+
+def _decoded(entries: list[tuple], data: bytes, lanes: int, table: Table, how: Coding) -> np.ndarray:
+    """The ids of blocks that follow each other, whose bytes are ``data``; every checksum is verified."""
+    out, bodies, place = np.empty(sum(e[1] for e in entries), table.dtype), [], 0
     for _, _, _, stored_crc, words in entries:
         body = data[place : place + 8 * lanes + 4 * words]
         if zlib.crc32(body) != stored_crc:
             raise ValueError("a block is damaged")
         bodies.append(body)
         place += len(body)
-    lo = 0
-    while lo < blocks:
+    lo = at = 0
+    while lo < len(entries):
         hi = lo + 1
-        while hi < blocks and hi - lo < how.together and entries[hi][1] == entries[lo][1]:
+        while hi < len(entries) and hi - lo < how.together and entries[hi][1] == entries[lo][1]:
             hi += 1
         states = np.stack([np.frombuffer(b, "<u8", lanes) for b in bodies[lo:hi]])
         words = [np.frombuffer(b, "<u4", offset=8 * lanes) for b in bodies[lo:hi]]
         got = decode_blocks(states, words, -(-entries[lo][1] // lanes), table).reshape(hi - lo, -1)
-        for (first, count, ids_crc, _, _), row in zip(entries[lo:hi], got):
-            out[first : first + count] = row[:count]
+        for (_, count, ids_crc, _, _), row in zip(entries[lo:hi], got):
+            out[at : at + count] = row[:count]
             if zlib.crc32(row[:count].astype("<u4")) != ids_crc:
                 raise ValueError("a block's ids are damaged")
+            at += count
         lo = hi
-    return [d if k else None for d, k in zip(ids_of, known)], lengths, out
+    return out
+
+
+def read_file(data: bytes, table: Table, how: Coding) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(document ids, lengths, ids); every checksum is verified."""
+    head = _head(lambda at, n: data[at : at + n], table)
+    plain, flags = zlib.decompress(head.documents), -(-head.count // 8)
+    known = np.unpackbits(np.frombuffer(plain, np.uint8, flags), count=head.count).astype(bool)
+    ids_of = np.frombuffer(plain, "<i8", head.count, flags).tolist()
+    lengths = np.frombuffer(plain, "<u8", head.count, flags + 8 * head.count).astype(np.int64)
+    ids = _decoded(head.entries, data[head.body :], head.lanes, table, how)
+    return [d if k else None for d, k in zip(ids_of, known)], lengths, ids
+
+
+def read_range(read: Callable[[int, int], bytes], start: int, n: int, table: Table, how: Coding = Coding()) -> np.ndarray:
+    """``n`` ids of a file from its id ``start`` on, fewer at its end; only the blocks that hold them are read and decoded."""
+    head = _head(read, table)
+    start, stop = max(0, start), min(head.ids, start + n)
+    if start >= stop:
+        return np.empty(0, table.dtype)
+    first, last = start // head.size, -(-stop // head.size)
+    sizes = [8 * head.lanes + 4 * e[4] for e in head.entries[:last]]
+    data = read(head.body + sum(sizes[:first]), sum(sizes[first:]))
+    got = _decoded(head.entries[first:last], data, head.lanes, table, how)
+    return got[start - first * head.size : stop - first * head.size]
 
 
 def _open(uri: str):
@@ -185,61 +223,69 @@ def _open(uri: str):
 
 
 def tokenized(docs: DataFrame, how: Coding = Coding()) -> DataFrame:
-    """``doc_id, ids``: each document's ids and the end id, as compressed 16-bit integers."""
+    """``doc_id, ids, counts``: each document's ids and the end id, compressed; and a row a task of how often it gave each id."""
     path = vocabulary(how.tokenizer)
 
     def run(batches):
         import zstandard
 
-        enc, pack, end = encoder(path, True, how.cached), zstandard.ZstdCompressor(level=3), how.end.to_bytes(2, "little")
+        enc, pack = encoder(path, True, how.cached), zstandard.ZstdCompressor(level=3)
+        counts = np.zeros(max(enc.size, how.end + 1), np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                ids = [pack.compress(enc.encode(x.as_py()) + end) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for part in slices(batch, 1, 4000, 12 << 20):
+                ids, ends = enc.encode_all(part.column(1), how.end)
+                counts += np.bincount(ids, minlength=len(counts))
+                packed = [pack.compress(ids[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], ["doc_id", "ids", "counts"])
+        told = pack.compress(counts.astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([told], pa.binary())], ["doc_id", "ids", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def _unpacked(column):
+def _unpacked(column, kind: str):
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
-    return (np.frombuffer(unpack.decompress(x.as_py()), "<u2") for x in column)
+    return (np.frombuffer(unpack.decompress(x.as_py()), kind) for x in column)
 
 
-def frequencies(ids: DataFrame, bits: int) -> Table:
-    """Counts over all ids; at most one row for each of the 65536 ids reaches the driver."""
+def frequencies(tokens: DataFrame, bits: int, size: int) -> Table:
+    """Counts over all ids, of the tasks' rows of ``tokenized``; at most one row for each id reaches the driver."""
 
     def run(batches):
-        counts = np.zeros(1 << 16, np.int64)
+        counts = np.zeros(size, np.int64)
         for batch in batches:
-            for a in _unpacked(batch.column(0)):
-                counts += np.bincount(a, minlength=1 << 16) if len(a) > 20_000 else 0
-                if len(a) <= 20_000:
-                    np.add.at(counts, a, 1)
+            for c in _unpacked(batch.column(0), "<i8"):
+                counts += c
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 << 16, np.int64)
+    rows = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(size, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     return Table(counts, bits)
 
 
+_FILE = "uri string, part long, number long, documents long, tokens long"
+
+
 def write_ids(docs: DataFrame, how: Coding = Coding(), path: str | None = None) -> tuple[DataFrame, Table]:
     """Write files in ascending doc_id order; returns their list (uri, part, number, documents, tokens) and the table.
 
-    A task writes files of names that only this attempt uses, and the list names those of the
+    A task writes files of names that only this attempt uses, and the list, a table that Spark commits, names those of the
     attempts that ended well: a task that runs again leaves no wrong file in the list.
-    Null ids come first, equal ids in order of their ids' bytes; null text is the end id alone.
+    Null ids come first, equal ids in order of their ids' bytes; null and empty texts are the end id alone, long ones are
+    whole. Other columns are ignored; an empty table gives no file.
     """
     spark = docs.sparkSession
     path = path or scratch(spark, "ids")
-    ids = stored(tokenized(docs, how), "tokens")
-    table = frequencies(ids, how.bits)
-    shared = spark.sparkContext.broadcast(table)  # 65536 ids and 2**bits slots at most
+    enc = encoder(vocabulary(how.tokenizer), True, how.cached)
+    kind, size = enc.dtype.str, max(enc.size, how.end + 1)
+    tokens = stored(tokenized(docs, how), "tokens")
+    table = frequencies(tokens, how.bits, size)
+    shared = spark.sparkContext.broadcast(table)  # the vocabulary's ids and 2**bits slots
 
     def run(batches):
         task = TaskContext.get()
@@ -262,7 +308,7 @@ def write_ids(docs: DataFrame, how: Coding = Coding(), path: str | None = None)
             return row
 
         for batch in batches:
-            for doc_id, a in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1))):
+            for doc_id, a in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1), kind)):
                 names.append(doc_id)
                 arrays.append(a)
                 held += len(a)
@@ -271,20 +317,20 @@ def write_ids(docs: DataFrame, how: Coding = Coding(), path: str | None = None)
         if names:
             yield flush()
 
-    rows = (
-        ids.repartitionByRange(width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-        .mapInArrow(run, "uri string, part long, number long, documents long, tokens long").collect()
-    )
-    return spark.createDataFrame(rows, "uri string, part long, number long, documents long, tokens long"), table
+    ids = tokens.where("ids IS NOT NULL").select("doc_id", "ids")
+    rows = ids.repartitionByRange(width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(run, _FILE)
+    return stored(rows, "files"), table
 
 
 def read_ids(files: DataFrame, table: Table, how: Coding = Coding()) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of all documents, decoded from the files. ``ids``: binary, 32 bits each."""
     spark = files.sparkSession
-    base, rows = 0, []
-    for r in sorted(files.collect(), key=lambda r: (r["part"], r["number"])):
-        rows.append((r["uri"], base))
-        base += r["tokens"]
+    # ids before each file: of earlier partitions of the writing job, a row each, and of its own partition's files
+    parts = files.groupBy("part").agg(F.sum("tokens").alias("in_part"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("before_part"))
+    own = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    listed = files.join(parts, "part").select("uri", (F.col("before_part") + F.coalesce(F.sum("tokens").over(own), F.lit(0))).alias("base"))
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches):
@@ -303,8 +349,8 @@ def read_ids(files: DataFrame, table: Table, how: Coding = Coding()) -> DataFram
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    listed = spark.createDataFrame(rows, "uri string, base long").repartition(max(1, min(len(rows), 4 * width(spark))))
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    spread = listed.repartition(max(1, min(files.count(), 4 * width(spark))))
+    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op6_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

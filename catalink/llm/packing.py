@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalink.llm.shared import documents, stored
+from catalink.llm.shared import documents, slices, stored
 from catalink.llm.tokenizing import encoder, vocabulary
 
 
@@ -29,6 +29,7 @@ class Packing:
     window: int = 4096
     part: int = 1024  #: what is left of a document is cut into near-equal parts of at most this
     group: int = 1024  #: parts that are spread together, about
+    cached: int = 500_000  #: entries of each of the tokenizer's caches
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,16 +97,16 @@ def pieces(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
     path = vocabulary(how.tokenizer)
 
     def run(batches):
-        enc, row = encoder(path, False), TaskContext.get().partitionId() << 36
+        enc, row = encoder(path, False, how.cached), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                out = []
-                part = batch.slice(lo, 500)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = np.append(np.frombuffer(enc.encode(text.as_py()), "<u2"), np.uint16(how.end))
-                    for start, length, crc in cut(ids, how):
-                        out.append((doc_id, start, length, crc, len(ids), row))
+            for part in slices(batch, 1, 4000, 12 << 20):
+                ids, ends = enc.encode_all(part.column(1), how.end)
+                out, lo = [], 0
+                for doc_id, hi in zip(part.column(0).to_pylist(), ends.tolist()):
+                    for start, length, crc in cut(ids[lo:hi], how):
+                        out.append((doc_id, start, length, crc, hi - lo, row))
                         row += 1
+                    lo = hi
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{_PIECE}, row long")

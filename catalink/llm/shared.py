@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,17 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, column: int | str, rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of at most ``rows`` rows, and of about ``size`` bytes in a column; a longer value stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right"))
+        hi = min(lo + rows, max(lo + 1, full))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

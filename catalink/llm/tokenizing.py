@@ -1,9 +1,11 @@
-"""Token ids of whole texts as bytes, by the tokenizers library with a bounded cache.
+"""Token ids of whole texts, by the tokenizers library with a bounded cache.
 
 The vocabularies split a text into pre-tokens before any merge, so a text can be
 cut at places that are certain to lie between two pre-tokens, and each chunk
-encoded once. Added tokens ('<|endoftext|>') are cut out first, as the library does. Chunks that are letters and then punctuation go straight to the
-library's model; every other chunk goes through the library's whole encoding.
+encoded once. A batch of texts is cut by Arrow and its chunks are numbered there, so the
+cache is asked once a batch for each different chunk, and numpy lays the ids out. Added tokens
+('<|endoftext|>') are cut out first, as the library does. Chunks that are letters and then
+punctuation go straight to the library's model; every other chunk goes through the library's whole encoding.
 """
 
 from __future__ import annotations
@@ -13,14 +15,19 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries of each of the caches, about 100 bytes each.
+#: Entries of each of the caches, about 200 bytes each.
 CACHED = 500_000
-_OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Between any character and a lone space or line end that a visible character follows.
 _BETWEEN = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Letters whose case and normal form are single characters, then ASCII punctuation; never an apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Texts whose spaces aren't single ones between chunks: at an end, next to each other, or of another kind.
+_UNEVEN = r"(?:^|[ \n])(?:[ \n]|$)|[" + "".join(rf"\x{{{c:x}}}" for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n") + "]"
+#: Stands before a text's first chunk, which no space precedes; chunks have no other line ends next to each other.
+_FIRST = "\n\n"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,14 +45,15 @@ class _Cache(dict):
         self.make, self.most = make, most
 
     def __missing__(self, chunk: str) -> bytes:
+        ids = self.make(chunk)
         if len(self) >= self.most:
             self.clear()
-        ids = self[chunk] = self.make(chunk)
+        self[chunk] = ids
         return ids
 
 
 class Encoder:
-    """Encodes texts with one vocabulary file; ids below 65536 as little-endian 16-bit bytes."""
+    """Encodes texts with one vocabulary file; ids are little-endian, of 16 bits where the vocabulary allows it."""
 
     def __init__(self, path: str, spaces: bool, cached: int = CACHED):
         """``spaces``: a lone space belongs to the pre-token after it; else white space is dropped and case folded."""
@@ -57,50 +65,99 @@ class Encoder:
         added = self.library.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("added tokens must match as they stand")
-        self.added = {t.content: int(i).to_bytes(2, "little") for i, t in added.items()}
+        self.size = max([*self.library.get_vocab().values(), 0]) + 1
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.added = {t.content: self._bytes(i) for i, t in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
-        letters, two, model = _byte_letters(), [i.to_bytes(2, "little") for i in range(1 << 16)], self.library.model
+        letters, model = _byte_letters(), self.library.model.tokenize
+        self.space = letters[32]
+        known = [self._bytes(i) for i in range(self.size)]
 
         def pre_token(piece: str) -> bytes:
-            shown = "".join(map(letters.__getitem__, piece.encode()))
-            return b"".join([two[t.id] for t in model.tokenize(shown)])
+            shown = piece if piece.isascii() and piece.isalpha() else "".join(map(letters.__getitem__, piece.encode()))
+            return b"".join([known[t.id] for t in model(shown)])
 
         self.words = _Cache(pre_token, cached)
         self.joined = _Cache(self._after_space if spaces else self._folded, cached)  # a chunk that follows a space, or stands alone
         self.exact = _Cache(self._whole, cached)
+        self._known, self._model = known, model
+
+    def _bytes(self, i: int) -> bytes:
+        return int(i).to_bytes(self.dtype.itemsize, "little")
 
     def _whole(self, chunk: str) -> bytes:
-        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _after_space(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return b"".join([self._known[t.id] for t in self._model(self.space + chunk)])
+        if chunk.startswith(_FIRST):
+            return self.exact[chunk[2:]]
         new_line = chunk[:1] == "\n"
         if not (m := _PLAIN.fullmatch(chunk, new_line)):
             return self._whole(chunk if new_line else " " + chunk)
-        ids = self.words["\n"] + self.words[m[1]] if new_line else self.words[" " + m[1]]
+        ids = self.words["\n"] + self.words[m[1]] if new_line else self.joined[m[1]] if m[2] else self.words[" " + chunk]
         return ids + self.words[m[2]] if m[2] else ids
 
     def _folded(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha() and chunk.islower():
+            return b"".join([self._known[t.id] for t in self._model(chunk)])
         if not (m := _PLAIN.fullmatch(chunk)):
             return self._whole(chunk)
-        ids = self.words[m[1].lower()]
+        folded = m[1].lower()
+        ids = self.words[folded] if folded == chunk else self.joined[folded]
         return ids + self.words[m[2]] if m[2] else ids
 
-    def encode(self, text: str | None) -> bytes:
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of one text; of null, none."""
         if not text:
-            return b""
+            return np.zeros(0, self.dtype)
         if self.cut and self.cut.search(text):
-            return b"".join(self.added.get(part) or self._part(part) for part in self.cut.split(text) if part)
-        return self._part(text)
+            ids = b"".join(self.added.get(part) or self._part(part) for part in self.cut.split(text) if part)
+        else:
+            ids = self._part(text)
+        return np.frombuffer(ids, self.dtype)
 
     def _part(self, text: str) -> bytes:
         """A text, not empty, without added tokens."""
-        joined = self.joined.__getitem__
-        if not self.spaces:
-            return b"".join(map(joined, text.replace("\n", " ").split(" ")))
-        chunks = text.replace("\n", " \n").split(" ")
-        if _OTHER_SPACE.search(text) or "" in chunks or "\n" in chunks:
+        if self.spaces:
             return b"".join(map(self.exact.__getitem__, _BETWEEN.split(text)))
-        return self.exact[chunks[0]] + b"".join(map(joined, chunks[1:]))
+        return b"".join(map(self.joined.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each followed by ``end``; where each text's ids end)."""
+        texts = pc.fill_null(texts, "")
+        apart = np.zeros(len(texts), bool)
+        for token in self.added:
+            apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if self.spaces:
+            apart |= pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
+        whole = pc.if_else(pa.array(~apart), texts, "") if apart.any() else texts
+        if self.spaces:
+            whole = pc.binary_join_element_wise(_FIRST, pc.replace_substring(whole, "\n", " \n"), "")
+        else:
+            whole = pc.replace_substring(whole, "\n", " ")
+        chunks = pc.split_pattern(whole, " ")
+        numbered = chunks.flatten().dictionary_encode()
+        known = list(map(self.joined.__getitem__, numbered.dictionary.to_pylist()))
+        code = numbered.indices.to_numpy()
+        many = np.fromiter(map(len, known), np.int32, len(known)) // self.dtype.itemsize
+        first = np.cumsum(many, dtype=np.int32) - many  # a batch is far below 2**31 ids
+        n = many[code]
+        before = np.concatenate([[0], np.cumsum(n, dtype=np.int32)], dtype=np.int32)
+        at = np.repeat(first[code] - before[:-1], n)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = np.frombuffer(b"".join(known), self.dtype)[at]
+        offsets = chunks.offsets.to_numpy()
+        ends = before[offsets[1:] - offsets[0]] + np.arange(1, len(texts) + 1, dtype=np.int64)
+        out = np.empty(len(ids) + len(texts), self.dtype)
+        own = np.ones(len(out), bool)
+        own[ends - 1] = False
+        out[own], out[ends - 1] = ids, end
+        if not apart.any():
+            return out, ends
+        parts = [np.append(self.encode(texts[i].as_py()), self.dtype.type(end)) if a else out[e - k : e] for i, (a, e, k) in enumerate(zip(apart, ends, np.diff(ends, prepend=0)))]
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
 @lru_cache(maxsize=4)

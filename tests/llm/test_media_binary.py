@@ -75,6 +75,34 @@ def test_damage_is_noticed():
         binary.read_file(data, binary.Table(np.bincount([1, 2, 3], minlength=1 << 16), how.bits), how)
 
 
+def test_ranges_read_their_blocks_only():
+    how = binary.Coding(block=1 << 10, lanes=32)
+    ids = (np.random.default_rng(3).zipf(1.4, 9000) % 50_257).astype(np.uint16)
+    table, data = coded(ids, how)
+    taken = []
+
+    def read(at, n, source=data):
+        taken.append(n)
+        return source[at : at + n]
+
+    for start, n in ((0, 9000), (0, 1), (1023, 2), (5000, 1), (8999, 50), (9000, 5), (2048, 1024), (-3, 5)):
+        assert binary.read_range(read, start, n, table, how).tolist() == ids[max(0, start) : max(0, start + n)].tolist()
+    taken.clear()
+    binary.read_range(read, 5000, 1, table, how)
+    assert sum(taken) < len(data) / 2
+    broken = data[:-3] + bytes([data[-3] ^ 1]) + data[-2:]
+    assert binary.read_range(lambda at, n: broken[at : at + n], 0, 2000, table, how).tolist() == ids[:2000].tolist()
+    with pytest.raises(ValueError):
+        binary.read_range(lambda at, n: broken[at : at + n], 8000, 900, table, how)
+
+
+def test_vocabularies_beyond_16_bits():
+    how = binary.Coding(block=1 << 10)
+    ids = np.array([0, 70_000, 99_999, 70_000] * 900, np.uint32)
+    table = binary.Table(np.bincount(ids, minlength=100_000), how.bits)
+    assert binary.read_file(binary.write_file([1], [3600], ids, table, how), table, how)[2].tolist() == ids.tolist()
+
+
 def test_size_is_near_the_entropy():
     how = binary.Coding()
     ids = (np.random.default_rng(5).zipf(1.3, 400_000) % 50_257).astype(np.uint16)

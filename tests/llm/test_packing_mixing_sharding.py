@@ -11,22 +11,36 @@ from catalink.llm.tokenizing import Encoder, vocabulary
 
 @pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cached_ids_equal_the_librarys(name, spaces):
-    enc = Encoder(vocabulary(name), spaces)
-    rng = random.Random(4)
-    parts = ["a", "B", " ", "\n", "é", "ß", "'s", "'", "!", "12", "\t", "  ", "İ", "Σς", " ", "\x1c", "é", "<|endoftext|>", "_", "日本", "word", " "]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
-    for t, got in zip(texts, map(enc.encode, texts)):
-        assert np.frombuffer(got, "<u2").tolist() == enc.library.encode(t, add_special_tokens=False).ids, repr(t)
-
-
-@pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_added_tokens_are_the_librarys(name, spaces):
+    """Against a fresh tokenizer, one text at a time and all at once; added tokens stand anywhere."""
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    enc, plain = Encoder(vocabulary(name), spaces), Tokenizer.from_file(vocabulary(name))
-    for e in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"):
-        for t in (f"a {e} b", e, e + e, f"x{e}", f"{e}\n\nNext text", f"one\n{e} \n two's  {e}.", f"<|{e}|>", f"{e}\u0338 é"):
-            assert np.frombuffer(enc.encode(t), "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    enc, plain = Encoder(vocabulary(name), spaces, 500), Tokenizer.from_file(vocabulary(name))
+    rng = random.Random(4)
+    parts = ["a", "B", " ", "\n", "é", "ß", "'s", "'", "!", "12", "\t", "  ", "İ", "Σς", "\x1c", "e\u0301", "_", "日本", "word", "\u3000", "\x85", "Hello,", " and", "two\nlines", " x."]
+    parts += ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, "", " ", "\n", "x" * 5000, "of words " * 900]
+    for e in parts[-3:]:
+        texts += [f"a {e} b", e, e + e, f"x{e}", f"{e}\n\nNext text", f"one\n{e} \n two's  {e}.", f"<|{e}|>", f"{e}\u0338 é"]
+    ids, ends = enc.encode_all(pa.array(texts), 7)
+    for t, lo, hi in zip(texts, [0, *ends], ends):
+        want = plain.encode(t or "", add_special_tokens=False).ids
+        assert enc.encode(t).tolist() == want, repr(t)
+        assert ids[lo:hi].tolist() == [*want, 7], repr(t)
+    assert ends[-1] == len(ids) and enc.encode_all(pa.array([], pa.string()), 7)[0].tolist() == []
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from catalink.llm.shared import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n is not None else None for n in (5, None, 90, 3, 3, 3, 0, 40)])], ["t"])
+    for start, many in ((0, 8), (2, 6)):
+        got = [p.column(0).to_pylist() for p in slices(batch.slice(start, many), 0, 3, 10)]
+        assert [x for p in got for x in p] == batch.slice(start, many).column(0).to_pylist()
+        assert all(len(p) <= 3 and (len(p) == 1 or sum(len(x or "") for x in p) <= 10) for p in got)
+    assert list(slices(batch.slice(0, 0), "t")) == []
 
 
 def test_differencing_spreads_evenly():
