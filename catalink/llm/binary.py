@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalink.llm.shared import documents, scratch, slices, stored, width
-from catalink.llm.tokenizing import encoder, vocabulary
+from catalink.llm.tokenizing import CACHED, encoder, vocabulary
 
 MAGIC = b"CLRANS01"
 _HEADER = struct.Struct("<IIIQQI")  # table's crc32, lanes, ids a block, documents, ids, blocks
@@ -37,9 +37,9 @@ class Coding:
     bits: int = 18  #: frequencies sum to 2**bits
     lanes: int = 128
     block: int = 1 << 16  #: ids
-    together: int = 16  #: blocks that are coded in lockstep
+    together: int = 32  #: blocks that are coded in lockstep
     file_blocks: int = 256
-    cached: int = 600_000  #: entries of each of the tokenizer's caches
+    cached: int = CACHED  #: entries of each of the tokenizer's caches
 
 
 class Table:
@@ -232,7 +232,7 @@ def tokenized(docs: DataFrame, how: Coding = Coding()) -> DataFrame:
         enc, pack = encoder(path, True, how.cached), zstandard.ZstdCompressor(level=3)
         counts = np.zeros(max(enc.size, how.end + 1), np.int64)
         for batch in batches:
-            for part in slices(batch, 1, 4000, 12 << 20):
+            for part in slices(batch, 1, 3000, 8 << 20):
                 ids, ends = enc.encode_all(part.column(1), how.end)
                 counts += np.bincount(ids, minlength=len(counts))
                 packed = [pack.compress(ids[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
@@ -322,8 +322,9 @@ def write_ids(docs: DataFrame, how: Coding = Coding(), path: str | None = None)
     return stored(rows, "files"), table
 
 
-def read_ids(files: DataFrame, table: Table, how: Coding = Coding()) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of all documents, decoded from the files. ``ids``: binary, 32 bits each."""
+def read_ids(files: DataFrame, table: Table, how: Coding = Coding(), digest: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` of all documents, decoded from the files. ``ids``: binary, 32 bits each;
+    with ``digest`` their crc32 instead, ``ids_crc32``."""
     spark = files.sparkSession
     # ids before each file: of earlier partitions of the writing job, a row each, and of its own partition's files
     parts = files.groupBy("part").agg(F.sum("tokens").alias("in_part"))
@@ -340,19 +341,19 @@ def read_ids(files: DataFrame, table: Table, how: Coding = Coding()) -> DataFram
                 with fs.open_input_stream(at) as f:
                     names, lengths, ids = read_file(f.read(), shared.value, how)
                 ends = np.cumsum(lengths)
-                wide = ids.astype("<u4")
+                wide = memoryview(ids.astype("<u4")).cast("B")
+                last = "ids_crc32" if digest else "ids"
                 for lo in range(0, len(names), 500):
                     hi = min(len(names), lo + 500)
-                    own = [wide[e - n : e].tobytes() for e, n in zip(ends[lo:hi], lengths[lo:hi])]
+                    own = [wide[4 * (e - n) : 4 * e] for e, n in zip(ends[lo:hi].tolist(), lengths[lo:hi].tolist())]
+                    own = pa.array(map(zlib.crc32, own), pa.int64()) if digest else pa.array(map(bytes, own), pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[lo:hi], pa.int64()), pa.array(first + ends[lo:hi] - lengths[lo:hi]), pa.array(lengths[lo:hi]), pa.array(own, pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
+                        [pa.array(names[lo:hi], pa.int64()), pa.array(first + ends[lo:hi] - lengths[lo:hi]), pa.array(lengths[lo:hi]), own], ["doc_id", "start", "n_tokens", last])
 
     spread = listed.repartition(max(1, min(files.count(), 4 * width(spark))))
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spread.mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def op6_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, table = write_ids(documents(spark, sf_dir))
-    return read_ids(files, table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_ids(files, table, digest=True)

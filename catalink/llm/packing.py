@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalink.llm.shared import documents, slices, stored
-from catalink.llm.tokenizing import encoder, vocabulary
+from catalink.llm.tokenizing import CACHED, encoder, vocabulary
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ class Packing:
     window: int = 4096
     part: int = 1024  #: what is left of a document is cut into near-equal parts of at most this
     group: int = 1024  #: parts that are spread together, about
-    cached: int = 500_000  #: entries of each of the tokenizer's caches
+    cached: int = CACHED  #: entries of each of the tokenizer's caches
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
     def run(batches):
         enc, row = encoder(path, False, how.cached), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, 1, 4000, 12 << 20):
+            for part in slices(batch, 1, 3000, 8 << 20):
                 ids, ends = enc.encode_all(part.column(1), how.end)
                 out, lo = [], 0
                 for doc_id, hi in zip(part.column(0).to_pylist(), ends.tolist()):

@@ -18,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of each of the caches, about 200 bytes each.
-CACHED = 500_000
+#: Entries of each of the caches, about 150 bytes each.
+CACHED = 1_000_000
 #: Between any character and a lone space or line end that a visible character follows.
 _BETWEEN = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Letters whose case and normal form are single characters, then ASCII punctuation; never an apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII punctuation that is cut from letters before it; never an apostrophe.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Texts whose spaces aren't single ones between chunks: at an end, next to each other, or of another kind.
 _UNEVEN = r"(?:^|[ \n])(?:[ \n]|$)|[" + "".join(rf"\x{{{c:x}}}" for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n") + "]"
 #: Stands before a text's first chunk, which no space precedes; chunks have no other line ends next to each other.
@@ -89,7 +91,10 @@ class Encoder:
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _after_space(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
+        letters = chunk.rstrip(_MARKS)
+        if letters.isascii() and letters.isalpha():
+            if letters != chunk:
+                return self.joined[letters] + self.words[chunk[len(letters) :]]
             return b"".join([self._known[t.id] for t in self._model(self.space + chunk)])
         if chunk.startswith(_FIRST):
             return self.exact[chunk[2:]]
@@ -100,8 +105,11 @@ class Encoder:
         return ids + self.words[m[2]] if m[2] else ids
 
     def _folded(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha() and chunk.islower():
-            return b"".join([self._known[t.id] for t in self._model(chunk)])
+        letters = chunk.rstrip(_MARKS)
+        if letters.isascii() and letters.isalpha():
+            if letters != chunk:
+                return self.joined[letters] + self.words[chunk[len(letters) :]]
+            return b"".join([self._known[t.id] for t in self._model(chunk)]) if chunk.islower() else self.joined[chunk.lower()]
         if not (m := _PLAIN.fullmatch(chunk)):
             return self._whole(chunk)
         folded = m[1].lower()
@@ -139,7 +147,7 @@ class Encoder:
             whole = pc.replace_substring(whole, "\n", " ")
         chunks = pc.split_pattern(whole, " ")
         numbered = chunks.flatten().dictionary_encode()
-        known = list(map(self.joined.__getitem__, numbered.dictionary.to_pylist()))
+        known = list(map(self.joined.__getitem__, numbered.dictionary.to_numpy(zero_copy_only=False).tolist()))
         code = numbered.indices.to_numpy()
         many = np.fromiter(map(len, known), np.int32, len(known)) // self.dtype.itemsize
         first = np.cumsum(many, dtype=np.int32) - many  # a batch is far below 2**31 ids

@@ -126,5 +126,7 @@ def test_files_of_odd_texts(odd, none):
     for r in got:
         assert r["start"] == start and r["n_tokens"] * 4 == len(r["ids"])
         start += r["n_tokens"]
+    digests = binary.read_ids(files, table, digest=True).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in digests] == [(r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in got]
     files, table = binary.write_ids(none)
     assert binary.read_ids(files, table).count() == 0
