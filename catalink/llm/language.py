@@ -2,14 +2,15 @@
 
 A sample of labelled text of each language becomes a suffix automaton, which
 accepts exactly the sample's substrings. A text is parsed greedily into the longest
-phrases that an automaton accepts; a phrase costs about the logarithm of the sample's
-length, so the language of the fewest phrases, so normalised, wins. Automata are dense
-arrays, and a batch of texts, cut into lanes, walks through all of them in lockstep.
+phrases that an automaton accepts, a letter that it doesn't have being a phrase of its own; a phrase costs
+about the logarithm of the sample's length, so the language of the fewest phrases, so normalised, wins. Automata are dense
+arrays, and a batch of texts, cut into lanes, walks through all of them in lockstep. Lanes first start at the
+root, and are then corrected from the state in which the lane before ended until both walks meet, so
+the parse is that of the whole text.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalink.llm.shared import documents, held_out, stored
+from catalink.llm.shared import documents, held_out, slices, stored
 
-_LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 STRANGER = 1.7  #: times as many phrases a letter as the 0.99 quantile are those of a language not learnt
 ROOM = 6  #: phrases that a text of any length may have besides; the fewer letters, the more this allows
@@ -29,10 +29,10 @@ ROOM = 6  #: phrases that a text of any length may have besides; the fewer lette
 @dataclass(frozen=True)
 class Parsing:
     rows: int = 200  #: texts of a language, at most, in the sample
-    excerpt: int = 2000  #: code points of each that the sample takes
+    excerpt: int = 2000  #: code points of each, at a place picked by hash, that the sample takes at most
     letters: int = 40_000  #: code points of a language, at most, in its automaton, drawn evenly from its excerpts
     alphabet: int = 64  #: symbols; if the samples have more letters, the rarer ones are written as two or three
-    lane: int = 256  #: letters that are parsed in a row
+    lane: int = 1024  #: letters that one column of a batch walks through; the result doesn't depend on it
     bits: float = 4.0  #: by which a language must be cheaper to be e times as likely
 
 
@@ -89,7 +89,7 @@ def _codes(letters: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def even(texts: list[str], letters: int) -> list[str]:
-    """The starts of all texts, as long as they may all be for ``letters`` code points together."""
+    """As much of each text as all may have for ``letters`` code points together."""
     left, share = letters, 0
     for i, n in enumerate(sorted(map(len, texts))):
         share = left // (len(texts) - i)
@@ -136,45 +136,76 @@ class Languages:
         return self.codes[n][np.arange(self.codes.shape[1]) < self.lengths[n][:, None]]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """(languages, texts): phrases of each text's parse; a lane's last phrase counts as whole."""
-        lane = self.how.lane
+        """(languages, texts): phrases of each text's greedy parse."""
+        lane, many = self.how.lane, len(self.names)
         parts = [-(-len(t) // lane) for t in texts]
         total = sum(parts)
+        if not total:
+            return np.zeros((many, len(texts)))
         of = np.repeat(np.arange(len(texts)), parts)
         sizes = np.array([min(lane, len(t) - lo) for t in texts for lo in range(0, len(t), lane)], np.int64)
-        grid = np.zeros((lane, total), np.uint8)
+        grid = np.zeros((min(lane, int(sizes.max())), total), np.uint8)
         at = 0
         for t, n in zip(texts, parts):
             if n:
-                padded = np.zeros(n * lane, np.uint8)
+                padded = np.zeros(n * len(grid), np.uint8)  # a text of several lanes fills the grid's height
                 padded[: len(t)] = t
-                grid[:, at : at + n] = padded.reshape(n, lane).T
+                grid[:, at : at + n] = padded.reshape(n, len(grid)).T
                 at += n
         order = np.argsort(-sizes, kind="stable")
-        grid, sizes, of = grid[:, order], sizes[order], of[order]
-        count = np.ones((len(self.names), total), np.int64)
-        state = np.zeros((len(self.names), total), np.int64)
-        active = np.searchsorted(-sizes, -np.arange(lane), "left")  # lanes longer than each step
-        for step in range(lane):
-            k = int(active[step])
-            if not k:
+        count, state = np.zeros((many, total), np.int64), np.zeros((many, total), np.int32)
+        sorted_grid, found, now = grid[:, order], np.zeros((many, total), np.int64), np.zeros((many, total), np.int32)
+        active = np.searchsorted(-sizes[order], -np.arange(len(grid)), "left")  # lanes longer than each step
+        for c, k in zip(sorted_grid, active.tolist()):
+            c, old = c[:k], now[:, :k]
+            to = self.table[self.base + old * np.int64(self.how.alphabet) + c]
+            none = to == 0
+            found[:, :k] += none | (old == 0)
+            now[:, :k] = np.where(none, self.table[self.base + c], to)
+        count[:, order], state[:, order] = found, now
+        self._settle(grid, sizes, np.concatenate([[False], of[1:] == of[:-1]]), count, state)
+        return np.stack([np.bincount(of, row, len(texts)) for row in count]) if many else np.zeros((0, len(texts)))
+
+    def _settle(self, grid: np.ndarray, sizes: np.ndarray, follows: np.ndarray, count: np.ndarray, state: np.ndarray) -> None:
+        """Correct ``count`` and ``state`` of lanes that follow another one, walked from the root, for the state in which that one ended."""
+        table, base, width = self.table, self.base[:, 0], np.int64(self.how.alphabet)
+        more, entry = np.zeros_like(count), np.zeros_like(state)  # phrases to be added, and the state they were found for
+        ends = state.copy()  # of the walks from the root
+        while True:
+            want = np.zeros_like(state)
+            want[:, 1:] = np.where(follows[1:], state[:, :-1], 0)
+            lang, lane = np.nonzero(want != entry)
+            if not len(lang):
                 break
-            c = grid[step, :k]
-            to = self.table[self.base + state[:, :k] * self.how.alphabet + c]
-            end = to == 0
-            count[:, :k] += end
-            state[:, :k] = np.where(end, self.table[self.base + c], to)
-        out = np.zeros((len(self.names), len(texts)))
-        for i, row in enumerate(count):
-            out[i] = np.bincount(of, row, len(texts))
-        return out
+            entry = want
+            a, b = np.zeros(len(lang), np.int32), want[lang, lane]
+            extra, step = np.zeros(len(lang), np.int64), 0
+            while len(lang):
+                over = (a == b) | (sizes[lane] <= step)
+                if over.any():
+                    done = lang[over], lane[over]
+                    more[done] = extra[over]
+                    state[done] = np.where(a[over] == b[over], ends[done], b[over])
+                    lang, lane, a, b, extra = (x[~over] for x in (lang, lane, a, b, extra))
+                    if not len(lang):
+                        break
+                c = grid[step, lane]
+                root = table[base[lang] + c]
+                for walk, sign in ((a, -1), (b, 1)):
+                    to = table[base[lang] + walk * width + c]
+                    none = to == 0
+                    extra += sign * (none | (walk == 0))
+                    walk[:] = np.where(none, root, to)
+                step += 1
+        count += more
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, likelihood among the languages, phrases a letter) of each text."""
-        known = [bool(self.names) and bool(_LETTER.search(t or "")) for t in texts]
-        numbers = [self.numbers(t) if k else np.zeros(0, np.uint8) for t, k in zip(texts, known)]
         if not self.names:
             return [(UNDETERMINED, 0.0, 0.0)] * len(texts)
+        numbers = [self.numbers(t or "") for t in texts]
+        known = [bool(n.any()) for n in numbers]
+        numbers = [n if k else n[:0] for n, k in zip(numbers, known)]
         phrases = self.phrases(numbers)
         bits = phrases * self.cost[:, None]
         best = bits.argmin(0)
@@ -194,7 +225,8 @@ def languages(samples: tuple[tuple[str, str], ...], how: Parsing) -> Languages:
 def excerpts(docs: DataFrame, how: Parsing = Parsing()) -> list[tuple[str, list[str]]]:
     """(language, texts) of the languages: a bounded sample of rows that are not held out, picked by hash of the text.
 
-    Every language is learnt. At most ``rows`` excerpts a language of ``excerpt`` code points reach the driver.
+    Every language is learnt. At most ``rows`` excerpts a language of ``excerpt`` code points, each from a place
+    of its text that the hash picks, reach the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", F.xxhash64("text").alias("h"), "text")
     common = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("d")).select("lang", "d")
@@ -202,7 +234,8 @@ def excerpts(docs: DataFrame, how: Parsing = Parsing()) -> list[tuple[str, list[
     low = F.pmod("h", F.lit(1 << 31)).cast("double") * F.col("d") < float(4 * how.rows << 31)
     slim = rows.select("lang", "h").join(F.broadcast(common), "lang").where(low).select("lang", "h").distinct()
     picked = stored(slim.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= how.rows).drop("k"), "picked")
-    texts = rows.withColumn("text", F.substring("text", 1, how.excerpt)).join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
+    place = F.expr(f"cast(pmod(h, greatest(char_length(text) - {how.excerpt}, 0) + 1) + 1 as int)")
+    texts = rows.withColumn("text", F.substr("text", place, F.lit(how.excerpt))).join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
     out: dict[str, list[str]] = {}
     for r in texts:
         out.setdefault(r["lang"], []).append(r["text"])
@@ -240,16 +273,16 @@ def identified(docs: DataFrame, how: Parsing = Parsing()) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, phrases``, a row for each row of ``docs`` (doc_id, text, lang).
 
     ``score`` is the language's likelihood among the learnt ones, ``phrases`` its phrases a letter. Null
-    texts and texts without a letter are ``und`` at score 0, as is all if no row has a language. Ties go to
-    the first language by name. Rows repeat as they do in ``docs``; other columns are ignored.
+    texts and texts without a letter (``str.isalpha``) are ``und`` at score 0, as is all if no row has a language. Ties go to
+    the first language by name. Long texts are parsed whole. Rows repeat as they do in ``docs``; other columns are
+    ignored; an empty table gives no row.
     """
     samples = docs.sparkSession.sparkContext.broadcast(sampled(docs, how))
 
     def run(batches):
         model = languages(samples.value, how)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, 1, 1000, 4 << 20):
                 found = model.judge(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in zip(*found))], ["doc_id", "lang_pred", "score", "phrases"])
 
@@ -258,7 +291,11 @@ def identified(docs: DataFrame, how: Parsing = Parsing()) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, most: float = 0.7, how: Parsing = Parsing()) -> DataFrame:
-    """The rows of ``docs`` that have letters and of which the best language needs no more phrases than ``limits`` and ``ROOM`` allow."""
+    """The rows of ``docs`` that have letters and of which the best language needs no more phrases than ``limits`` and ``ROOM`` allow.
+
+    Null texts and those without a letter go, as does every row if none has a language. Rows of equal text share their fate, whatever
+    their other columns, which all stay; an empty table stays empty.
+    """
     texts = excerpts(docs, how)
     samples = docs.sparkSession.sparkContext.broadcast(joined(texts))
     limit = limits(texts, most, how)
@@ -271,8 +308,7 @@ def in_known_language(docs: DataFrame, most: float = 0.7, how: Parsing = Parsing
 
         for batch in batches:
             at = batch.schema.names.index("text")
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, at, 1000, 4 << 20):
                 texts = part.column(at).to_pylist()
                 keep = [fits(n, p, t) for (n, _, p), t in zip(model.judge(texts), texts)]
                 yield part.filter(pa.array(keep, pa.bool_()))

@@ -28,15 +28,30 @@ def parse(text, sample):
     return n
 
 
-def test_phrases_against_greedy_parsing():
-    samples = (("x", "abcabdabe fgh"), ("y", "hgf eba dcb"))
-    model = language.Languages(samples, language.Parsing(lane=1000))
-    texts = ["abcab dabehgf", "aaaa", "fgh", "z abz"]
-    got = model.phrases([model.numbers(t) for t in texts])
-    # a parse that ends exactly at a phrase's end still has a last phrase
-    for i, (_, sample) in enumerate(samples):
-        for j, t in enumerate(texts):
-            assert abs(got[i, j] - parse(t, sample)) <= 1, (sample, t)
+def greedy(numbers, sample):
+    """Phrases of a text given by numbers, against a sample given likewise."""
+    as_text = lambda x: "".join(map(chr, x))
+    return parse(as_text(numbers), as_text(sample))
+
+
+def test_phrases_are_those_of_greedy_parsing():
+    rng = np.random.default_rng(8)
+    samples = (("x", "abcabdabe fgh"), ("y", "hgf eba dcb"), ("z", "hello world hello"), ("w", "a" * 40))
+    texts = ["abcab dabehgf", "aaaa", "fgh", "z abz", "", "ñhello" * 20, "a" * 700, "xa" * 300]
+    texts += ["".join(rng.choice(list("abcdefghxyz éñ"), rng.integers(1, 900))) for _ in range(60)]
+    for lane in (1, 7, 64, 1024):
+        model = language.Languages(samples, language.Parsing(lane=lane))
+        numbers = [model.numbers(t) for t in texts]
+        got = model.phrases(numbers)
+        for i, (_, sample) in enumerate(samples):
+            own = model.numbers(sample)
+            assert [greedy(t, own) for t in numbers] == got[i].tolist(), lane
+
+
+def test_letters_are_what_python_calls_letters(spark):
+    model = language.Languages((("x", "some words"),), language.Parsing())
+    texts = ["²½", "Ⅷ", "12 34", "😀。", "_", "ª", "日"]
+    assert [g[0] for g in model.judge(texts)] == ["und"] * 5 + ["x"] * 2
 
 
 def test_und_and_edges(odd, none):
