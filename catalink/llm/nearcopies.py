@@ -4,8 +4,9 @@ Candidates come from SimHash fingerprints of five words (equal, or joined by the
 and from bands of minwise hashes, which also reach the pairs that differ in more bits than the
 keys allow. Every candidate is verified by the Jaccard likeness of the sets of shingles.
 Texts of equal words collapse first. All pairs of a small band are candidates; the rows of a
-larger one meet eight of its rows (``Likeness.hubs``), so candidates grow with the rows; there a pair
-of which neither row is linked to those, and that shares no smaller band, may be missed.
+larger one meet eight of its rows (``Likeness.hubs``), so candidates grow with the rows. Where a larger band then
+still holds several components, its rows are compared across them by their minwise hashes, within a task
+and in blocks, and what is nearly alike is verified too: no band is cut short.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from catalink.llm.components import components
 from catalink.llm.neardup import Neighbours, neighbour_links
-from catalink.llm.shared import stored
+from catalink.llm.shared import free_names, slices, stored, width
 
 
 @dataclass(frozen=True)
@@ -29,8 +30,10 @@ class Likeness:
     least: float = 0.8  #: Jaccard likeness of two texts that count as near copies
     bands: int = 20
     band: int = 5  #: minwise hashes of a band; a pair of likeness 0.8 shares one of 20 bands at 99.96 %
-    group: int = 64  #: rows of a band that all meet each other
+    group: int = 16  #: rows of a band that all meet each other
     hubs: int = 8  #: rows, the same for all bands where they have them, that the rows of a larger band meet
+    nearly: float = 0.64  #: share of equal minwise hashes that two rows of a larger band need to be verified; 99.99 % of pairs at 0.8 have it
+    block: int = 4096  #: rows of a band that are compared at once
 
 
 _SHINGLES = 1 << 12  #: hashes that are taken at once
@@ -66,44 +69,52 @@ def _factors(how: Likeness) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
 
 
-def band_keys(h: np.ndarray, factors: tuple[np.ndarray, np.ndarray], how: Likeness) -> np.ndarray:
-    """A 64-bit key for each band, of the least values that its hash functions give to the shingles."""
-    import xxhash
-
+def least_hashes(h: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least value that each hash function gives to the shingles."""
     a, b = factors
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(h), _SHINGLES):
         np.minimum(least, (h[lo : lo + _SHINGLES, None] * a + b).min(axis=0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray, how: Likeness) -> np.ndarray:
+    """A 64-bit key for each band."""
+    import xxhash
+
     rows = least.astype("<u8").reshape(how.bands, how.band)
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64)
 
 
 def sketches(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
-    """``doc_id, text_key, node, fp, bands``: ``node`` is a hash of the words, ``bands`` the keys' bytes (null without a word)."""
+    """``doc_id, text_key, node, fp, bands, least``: ``node`` is a hash of the words, ``bands`` the keys' bytes and ``least``
+    16 bits of each minwise hash (both null without a word)."""
 
     def run(batches):
         import xxhash
 
         factors = _factors(how)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                node, fp, bands = [], [], []
+            for part in slices(batch, 2):
+                node, fp, bands, low = [], [], [], []
                 for t in part.column(2):
                     w = words_of(t.as_py())
                     h = shingles(w, how)
                     node.append(xxhash.xxh64_intdigest(b" ".join(w), how.seed))
                     fp.append(simhash_of(h))
-                    bands.append(band_keys(h, factors, how).tobytes() if w else None)
+                    least = least_hashes(h, factors) if w else None
+                    bands.append(band_keys(least, how).tobytes() if w else None)
+                    low.append((least >> np.uint64(40)).astype("<u2").tobytes() if w else None)
                 numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, pa.array(bands, pa.binary())], ["doc_id", "text_key", "node", "fp", "bands"])
+                rows = [part.column(0), part.column(1), *numbers, pa.array(bands, pa.binary()), pa.array(low, pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, ["doc_id", "text_key", "node", "fp", "bands", "least"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, fp long, bands binary")
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, fp long, bands binary, least binary")
 
 
-def candidates(nodes: DataFrame, how: Likeness = Likeness()) -> DataFrame:
-    """``nodes`` (node, fp, bands) -> ``a, b``, a < b: different pairs of nodes that share a band or near fingerprints."""
+def shared_bands(nodes: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """``key, node, n, h0, h1, ...`` of the bands of ``nodes`` (node, bands) that several nodes have: their number and their hubs."""
 
     def run(batches):
         for batch in batches:
@@ -114,7 +125,11 @@ def candidates(nodes: DataFrame, how: Likeness = Likeness()) -> DataFrame:
 
     keys = stored(nodes.where("bands IS NOT NULL").select("node", "bands").mapInArrow(run, "key long, node long"), "bands")
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node")).alias(f"h{i}") for i in range(how.hubs))).where("n > 1")
-    met = stored(keys.join(groups, "key"), "met")
+    return keys.join(groups, "key")
+
+
+def candidates(nodes: DataFrame, met: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """``nodes`` (node, fp, bands) -> ``a, b``, a < b: different pairs of nodes that share a small band, a hub or near fingerprints."""
     small, large = met.where(F.col("n") <= how.group), met.where(F.col("n") > how.group)
     pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").select("a", "b")
     ends = large.select(F.col("node").alias("a"), F.explode(F.array(*(f"h{i}.node" for i in range(how.hubs)))).alias("b"))
@@ -123,8 +138,77 @@ def candidates(nodes: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     same = nodes.where("bands IS NOT NULL").join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
     near = neighbour_links(first.select("fp"), Neighbours(words=how.words, seed=how.seed))
     near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    every = pairs.union(ends).union(same).union(near.select("x", "y")).where("a <> b")
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _different(pairs.union(ends).union(same).union(near.select("x", "y")))
+
+
+def _different(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def across(low: np.ndarray, comp: np.ndarray, how: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different ``comp`` whose minwise hashes ``low`` (rows, hashes) are nearly alike; rows of the largest one meet all others only."""
+    kind, of, many = np.unique(comp, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(of != many.argmax())
+    least, rank = how.nearly * low.shape[1], np.full(len(low), -1)
+    rank[rest] = np.arange(len(rest))
+    a, b = [], []
+    for i in rest.tolist():
+        j = np.flatnonzero((of != of[i]) & (rank < rank[i]))
+        j = j[(low[j] == low[i]).sum(axis=1) >= least]
+        a.append(np.full(len(j), i))
+        b.append(j)
+    return (np.concatenate(a), np.concatenate(b)) if a else (rest, rest)
+
+
+def unmet(met: DataFrame, nodes: DataFrame, roots: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """``a, b``: pairs of nodes of a larger band that are in different components of ``roots`` and nearly alike."""
+    large = met.where(F.col("n") > how.group).select("key", "node", "n").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    several = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rows = large.join(several, "key", "left_semi").join(nodes.select("node", "least"), "node")
+    blocks = F.ceil(F.col("n") / how.block).cast("int")
+    split = (
+        rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        # a pair of blocks is named by hash; rows of two pairs that share a name are compared too, which does no harm
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "comp", "node", "least")
+    )
+
+    def found(group):
+        # a RecordBatch; its rows are whole groups
+        key = group.column(0).to_numpy()
+        for lo, hi in zip(*_runs(key)):
+            low = np.frombuffer(b"".join(group.column(3).slice(lo, hi - lo).to_pylist()), "<u2").reshape(hi - lo, -1)
+            node = group.column(2).slice(lo, hi - lo).to_numpy()
+            a, b = across(low, group.column(1).slice(lo, hi - lo).to_numpy(), how)
+            for at in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a[at : at + 50_000]]), pa.array(node[b[at : at + 50_000]])], ["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1], "left")) if key[0] != key[-1] or (held and held[0].column(0)[0].as_py() != key[-1]) else -1
+            if last < 0:
+                held.append(batch)
+                continue
+            yield from found(_joined([*held, batch.slice(0, last)]))
+            held = [batch.slice(last)]
+        if held:
+            yield from found(_joined(held))
+
+    pairs = split.repartition(width(split.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return _different(pairs)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if sum(b.num_rows for b in batches) else batches[0]
+
+
+def _runs(key: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of equal keys begin and end."""
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist() if len(key) else [0]
+    return edges[:-1], edges[1:]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, how: Likeness = Likeness()) -> DataFrame:
@@ -154,22 +238,42 @@ def verified(pairs: DataFrame, texts: DataFrame, how: Likeness = Likeness()) ->
 
 
 def labelled(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
-    """``doc_id, text_key, root``, a row for each row of ``docs`` (doc_id, text): ``root`` names its component."""
+    """``doc_id, text_key, root``, a row for each row of ``docs`` (doc_id, text): ``root`` names its component.
+
+    Texts without a word, null ones among them, are a component. Long texts are taken whole.
+    """
     rows = stored(sketches(docs, how), "sketches")
-    pairs = stored(candidates(rows.select("node", "fp", "bands").distinct(), how), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    of = docs.select(F.xxhash64("text").alias("text_key"), "text").join(one, "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
-    texts = stored(of.join(one, "text_key").select("node", "text"), "texts")
-    roots = components(stored(verified(pairs, texts, how), "verified"))
+    nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("least").alias("least"))
+    nodes = stored(nodes, "nodes")
+    met = stored(shared_bands(nodes, how), "met")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "candidates")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        one = nodes.join(ends, "node", "left_semi").select("node", "text_key")
+        of = docs.select(F.xxhash64("text").alias("text_key"), "text").join(one, "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+        texts = stored(of.join(one, "text_key").select("node", "text"), "texts")
+        return stored(verified(pairs, texts, how), "verified")
+
+    links = alike(candidates(nodes, met, how))
+    roots = components(links)
+    more = stored(unmet(met, nodes, roots, how), "unmet")
+    if not more.isEmpty():
+        roots = components(links.union(alike(more)))
     return rows.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
 def one_of_each(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
-    """One row of each component: of its smallest id (null only if it has no other), and of that id's texts one."""
+    """One row of each component: of its smallest id (null only if it has no other), and of that id's texts one.
+
+    Rows equal in id and text count as one, whichever of them stays; ids need not be different. All columns are kept, whatever their names.
+    An empty table stays empty.
+    """
     labels = stored(labelled(docs, how), "labels")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("nd_null"), F.coalesce("doc_id", F.lit(0)).alias("nd_key"), F.col("text_key").alias("nd_text")))
-    keep = labels.groupBy("root").agg(least.alias("nd_row")).select("nd_row.*")
-    names = {"nd_n": F.col("doc_id").isNull(), "nd_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "nd_t": F.xxhash64("text")}
-    kept = docs.withColumns(names).join(keep, (F.col("nd_n") == F.col("nd_null")) & (F.col("nd_k") == F.col("nd_key")) & (F.col("nd_t") == F.col("nd_text")), "left_semi")
-    return kept.dropDuplicates([*names]).select(*docs.columns)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("text_key").alias("k2")))
+    keep = labels.groupBy("root").agg(least.alias("k")).select("k.*")
+    own = free_names(docs.columns, "id_null", "id", "text_key")
+    keep = keep.toDF(*free_names([*docs.columns, *own], "keep_null", "keep_id", "keep_key"))
+    rows = docs.withColumns(dict(zip(own, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")))))
+    same = [F.col(a) == F.col(b) for a, b in zip(own, keep.columns)]
+    return rows.join(keep, same, "left_semi").dropDuplicates(own).select(*docs.columns)

@@ -225,8 +225,9 @@ def near_duplicates(docs: DataFrame, how: Neighbours = Neighbours()) -> DataFram
     """``doc_id, fp, component_id``, a row for each row of ``docs`` (doc_id, text).
 
     The component is that of links at ``distance`` bits or fewer, its id the smallest doc_id
-    in it. Null and empty texts have fingerprint 0 and are linked like any other. Null
-    ids never name a component unless it has no other. Other columns are ignored.
+    in it. Null and empty texts have fingerprint 0 and are linked like any other; long texts are taken whole. Null
+    ids never name a component unless it has no other. Repeated rows are in one component, each with
+    a row of its own. Other columns are ignored; an empty table gives no row.
     """
     rows = stored(fingerprints(docs, how), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct").withColumn("node", F.xxhash64("fp"))
@@ -237,15 +238,6 @@ def near_duplicates(docs: DataFrame, how: Neighbours = Neighbours()) -> DataFram
     return rows.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, how: Neighbours = Neighbours()) -> DataFrame:
-    """The document of the smallest id of each component; of rows of that id, one."""
-    keep = near_duplicates(docs, how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias("nd_id"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("nd_key"), F.col("doc_id").isNull().alias("nd_null")).distinct()
-    rows = docs.withColumns({"nd_k": F.coalesce(F.col("doc_id"), F.lit(0)), "nd_n": F.col("doc_id").isNull()})
-    kept = rows.join(keep, (F.col("nd_k") == F.col("nd_key")) & (F.col("nd_n") == F.col("nd_null")), "left_semi")
-    return kept.dropDuplicates(["nd_k", "nd_n"]).select(*docs.columns)
-
-
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

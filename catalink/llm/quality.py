@@ -144,11 +144,15 @@ def fit(x: np.ndarray, y: np.ndarray, how: Boosting = Boosting()) -> Model:
     return model
 
 
-def fitted(stats: DataFrame, labels: DataFrame, how: Boosting = Boosting()) -> Model:
-    """A model of ``labels.quality`` from rows that are not held out, ``how.sample`` of them at most, picked by hash of their id."""
+def picked(labels: DataFrame, how: Boosting = Boosting()) -> DataFrame:
+    """``doc_id, quality`` of labelled rows that are not held out, ``how.sample`` of them at most, by hash of their id."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(how.sample)
-    rows = stats.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "stats").limit(how.sample).collect()
+    return usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(how.sample)
+
+
+def fitted(stats: DataFrame, labels: DataFrame, how: Boosting = Boosting()) -> Model:
+    """A model of ``labels.quality`` from the rows that ``picked`` gives."""
+    rows = stats.join(F.broadcast(picked(labels, how)), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "stats").limit(how.sample).collect()
     x = np.array([r["stats"] for r in rows], np.float32).reshape(len(rows), len(STATISTICS))
     return fit(x.astype(np.float64), np.array([float(r["quality"] > 0) for r in rows]), how)
 
@@ -157,8 +161,8 @@ def scored(docs: DataFrame, labels: DataFrame, how: Boosting = Boosting()) -> Da
     """``doc_id, held_out, score, predicted``, a row for each row of ``docs`` (doc_id, text).
 
     Null text counts as empty and is scored like any other; a null id is held out only if crc32 of the empty
-    text says so. Rows repeat as they do in ``docs``; other columns are ignored. Without labels of
-    both kinds the score is their share, or 0.5.
+    text says so. Rows repeat as they do in ``docs``; other columns are ignored; long texts are taken whole; an empty
+    table gives no row. Without labels of both kinds the score is their share, or 0.5.
     """
     stats = stored(featured(docs), "stats")
     model = docs.sparkSession.sparkContext.broadcast(fitted(stats, labels, how))
@@ -174,8 +178,13 @@ def scored(docs: DataFrame, labels: DataFrame, how: Boosting = Boosting()) -> Da
 
 
 def accepted(docs: DataFrame, labels: DataFrame, how: Boosting = Boosting()) -> DataFrame:
-    """The rows of ``docs`` whose text is predicted to be of quality, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(stored(featured(docs), "stats"), labels, how))
+    """The rows of ``docs`` whose text is predicted to be of quality, with all their columns, whatever their names.
+
+    Null texts count as empty ones; rows of equal text share their fate; without labels of both kinds all go or stay. The
+    model is fitted on the statistics of the labelled rows only; an empty table stays empty.
+    """
+    few = docs.select("doc_id", "text").join(F.broadcast(picked(labels, how).select("doc_id").distinct()), "doc_id", "left_semi")
+    model = docs.sparkSession.sparkContext.broadcast(fitted(stored(featured(few), "stats"), labels, how))
 
     def run(batches):
         for batch in batches:

@@ -39,6 +39,17 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, in any case."""
+    known, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in known:
+            name = f"{name}_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: int | str, rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` of at most ``rows`` rows, and of about ``size`` bytes in a column; a longer value stands alone."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

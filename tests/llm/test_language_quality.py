@@ -132,6 +132,22 @@ def test_trees_learn_and_flatten():
     assert np.allclose(model.score(x[:50]), [walk(r) for r in x[:50]])
 
 
+def test_a_tree_splits_where_a_plain_search_does():
+    """One level, few different values: every split of every column is tried by its loss."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 20, (400, 3)).astype(float)
+    y = (x[:, 1] > 12).astype(float)
+    y[rng.random(400) < 0.2] = 0
+    how = quality.Boosting(trees=1, depth=1)
+    model = quality.fit(x, y, how)
+    g, h = 1 / (1 + np.exp(-model.base)) - y, np.full(400, y.mean() * (1 - y.mean()))
+    gain = {(f, v): sum(g[m].sum() ** 2 / (h[m].sum() + how.ridge) for m in (x[:, f] <= v, x[:, f] > v)) for f in range(3) for v in np.unique(x[:, f])[:-1]}
+    f, v = max(gain, key=gain.get)
+    assert model.feature[0, 0] == f and v <= model.limit[0, 0] < v + 1
+    left = x[:, f] <= v
+    assert np.allclose(model.leaf[0], [-g[m].sum() / (h[m].sum() + how.ridge) * how.rate for m in (left, ~left)])
+
+
 def test_statistics_have_one_length(odd):
     assert {len(quality.statistics(t)) for t in (None, "", "a", "a b", "x\ny z\n", "é " * 1000)} == {len(quality.STATISTICS)}
 

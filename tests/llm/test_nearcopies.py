@@ -48,10 +48,41 @@ def test_large_bands_keep_the_links(spark):
     assert some == len(set(roots(len(texts), alike(texts))))
 
 
+def drifting(n=120, words=120, seed=7):
+    """A chain: each text is alike to its neighbours, and less and less to those farther off."""
+    rng = np.random.default_rng(seed)
+    text, out = rng.integers(0, 5000, words), []
+    for i in range(n):
+        text = text.copy()
+        text[(3 * i) % (words - 3) : (3 * i) % (words - 3) + 3] = 10_000 + i
+        out.append(" ".join(f"w{x}" for x in text))
+    return out
+
+
+def test_chains_that_hubs_do_not_join_are_found(spark):
+    """Bands of more rows than ``group``, one hub, and blocks of few rows: rows are compared across components."""
+    texts = drifting() + edited(seed=8, base=3, each=25, edits=(1, 9))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(set(roots(len(texts), alike(texts))))
+    for how in (nearcopies.Likeness(group=1, hubs=1, block=9), nearcopies.Likeness(group=2, hubs=1)):
+        assert sorted(r["doc_id"] for r in nearcopies.one_of_each(df, how).collect()) == want
+
+
+def test_rows_are_compared_across_components():
+    rng = np.random.default_rng(1)
+    low = rng.integers(0, 2, (60, 100)).astype(np.uint16)
+    comp = rng.choice([5, 5, 5, 7, 9], 60)
+    got = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in nearcopies.across(low, comp, nearcopies.Likeness(nearly=0.5))))}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if comp[i] != comp[j] and (low[i] == low[j]).sum() >= 50}
+
+
 def test_odd_rows_of_near_copies(odd, none):
     assert nearcopies.one_of_each(none).count() == 0
     got = nearcopies.one_of_each(odd)
     assert got.columns == odd.columns and {r["doc_id"] for r in got.collect()} == {1, 2, None, 4, 5}
+    named = odd.selectExpr("*", "'mine' AS id_null", "'own' AS ID", "8 AS keep_id")
+    kept = nearcopies.one_of_each(named)
+    assert kept.columns == named.columns and {(r["id_null"], r["ID"], r["keep_id"]) for r in kept.collect()} == {("mine", "own", 8)}
 
 
 def test_a_row_of_each_component_stays_whatever_its_id(spark, odd):

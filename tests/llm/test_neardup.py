@@ -114,5 +114,37 @@ def test_odd_rows(odd, none):
         by.setdefault(r["doc_id"], set()).add(r["component_id"])
     assert by[2] == by[3] == by[7] == {2} and by[1] == {1} and by[None] == {None}
     assert neardup.near_duplicates(none).count() == 0
-    kept = sorted(str(r["doc_id"]) for r in neardup.deduplicated(odd).collect())
-    assert kept == sorted(["1", "2", "None", "4", "5"]) and neardup.deduplicated(odd).columns == odd.columns
+
+
+def plain_simhash(text, words=3, seed=42):
+    """By the definition, a bit and a shingle at a time."""
+    import re
+
+    import xxhash
+
+    w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    if not w:
+        return 0
+    shingles = [b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] or [b" ".join(w)]
+    h = [xxhash.xxh64_intdigest(s, seed) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_query_against_brute_force(spark):
+    """``op2_neardup`` over a whole small table: fingerprints by definition, components by comparing all pairs."""
+    rng = np.random.default_rng(9)
+    words = ["The", "quick", "brown", "Fox", "ÉTÉ", "日本", "x\x1cy", "a", "b", "over", "\u00a0"]
+    base = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(40)]
+    texts = [*base, *base[:20], *(t + " tail" for t in base[20:]), *(t.upper().lower() for t in base), None, "", " \n\t"]
+    rows = [(i, t) for i, t in zip(rng.permutation(len(texts)).tolist(), texts)]
+    got = {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: plain_simhash(t) for i, t in rows}
+    assert {i: f for i, (f, _) in got.items()} == want
+    ids = sorted(want)
+    root = {i: i for i in ids}
+    for _ in ids:
+        for i in ids:
+            for j in ids:
+                if (want[i] ^ want[j]).bit_count() <= 3:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert {i: c for i, (_, c) in got.items()} == root
