@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
 
 
 def shared_bands(nodes: DataFrame, how: Likeness = Likeness()) -> DataFrame:
-    """``key, node, n, h0, h1, ...`` of the bands of ``nodes`` (node, bands) that several nodes have: their number and their hubs."""
+    """``key, node, n`` of the bands of ``nodes`` (node, bands) that several nodes have, with their number."""
 
     def run(batches):
         for batch in batches:
@@ -124,15 +124,16 @@ def shared_bands(nodes: DataFrame, how: Likeness = Likeness()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), how.bands))], ["key", "node"])
 
     keys = stored(nodes.where("bands IS NOT NULL").select("node", "bands").mapInArrow(run, "key long, node long"), "bands")
-    groups = keys.groupBy("key").agg(F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node")).alias(f"h{i}") for i in range(how.hubs))).where("n > 1")
-    return keys.join(groups, "key")
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
 def candidates(nodes: DataFrame, met: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     """``nodes`` (node, fp, bands) -> ``a, b``, a < b: different pairs of nodes that share a small band, a hub or near fingerprints."""
     small, large = met.where(F.col("n") <= how.group), met.where(F.col("n") > how.group)
     pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").select("a", "b")
-    ends = large.select(F.col("node").alias("a"), F.explode(F.array(*(f"h{i}.node" for i in range(how.hubs)))).alias("b"))
+    hubs = large.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node")).alias(f"h{i}") for i in range(how.hubs)))
+    hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*(f"h{i}.node" for i in range(how.hubs))))).alias("b"))
+    ends = large.select("key", F.col("node").alias("a")).join(hubs, "key").select("a", "b")
 
     first = stored(nodes.where("bands IS NOT NULL").groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
     same = nodes.where("bands IS NOT NULL").join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))

@@ -25,7 +25,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    # workers also keep what the stages before have loaded, so the tokenizer's caches are smaller here
+    return packing.pack(docs, packing.Packing(cached=250_000))
 
 
 STAGES = [
