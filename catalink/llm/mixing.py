@@ -32,15 +32,14 @@ class Mix:
 
 
 def keyed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The rows with ``mx_size``, ``mx_key`` and ``mx_range``; rows share a key only if
-    both id and text are equal."""
+    """``mx_row`` (the row), ``doc_id, source, mx_size, mx_key, mx_range``; rows share a key only if both id and text are equal."""
     identity = F.md5(F.concat(F.lit(f"{mix.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     body = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return docs.withColumns({
-        "mx_size": F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")),
-        "mx_key": F.concat(identity, body),
-        "mx_range": F.substring(identity, 1, mix.range_digits),
-    })
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mx_row"), "doc_id", "source",
+        F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("mx_size"),
+        F.concat(identity, body).alias("mx_key"), F.substring(identity, 1, mix.range_digits).alias("mx_range"),
+    )
 
 
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -109,18 +108,12 @@ def _small(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix(), slim: bool = False) -> DataFrame:
-    """Add ``size, source_size, target, taken`` to every row of ``docs``.
+_RESULTS = ("size", "source_size", "target", "taken")
 
-    ``docs`` needs doc_id, text and source; other columns pass through, but
-    columns of the four result names are replaced. ``taken`` counts the words the mix
-    takes of the row, repeats included: whole epochs, one more below the cut, and
-    at the cut the words still missing (rows equal in id and text share these
-    equally). Null text has size 0; null sources form one source, the last. An
-    empty table gives an empty result. ``slim`` keeps only doc_id and the results.
-    """
-    new = ["size", "source_size", "target", "taken"]
-    rows = keyed(docs.drop(*new), mix)
+
+def _mixed(docs: DataFrame, mix: Mix, slim: bool = False) -> DataFrame:
+    """``doc_id`` and the results, and the row itself as ``mx_row`` unless ``slim``."""
+    rows = keyed(docs, mix)
     light = stored(rows.select("doc_id", "source", "mx_size", "mx_key", "mx_range"), "mixkeys")
     plan = cuts(light, mix)
     plan = _small(plan.select(F.col("source"), *[F.col(c).alias(f"mx_{c}") for c in ("source_size", "target", "whole", "cut_key", "cut_words")]))
@@ -129,24 +122,36 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), slim: bool = False) -> DataFr
         .when(F.col("mx_key") == F.col("mx_cut_key"), F.col("mx_cut_words"))
         .otherwise(F.lit(0))
     )
-    out = _match(light if slim else rows, plan, "source")
-    keep = ["doc_id"] if slim else [c for c in docs.columns if c not in new]
-    return out.select(
-        *keep, F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"),
+    return _match(light if slim else rows, plan, "source").select(
+        *(() if slim else ("mx_row",)), "doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"),
         (F.col("mx_whole") * F.col("mx_size") + more).cast("long").alias("taken"),
     )
 
 
+def mix_sources(docs: DataFrame, mix: Mix = Mix(), slim: bool = False) -> DataFrame:
+    """Add ``size, source_size, target, taken`` to every row of ``docs``.
+
+    ``docs`` needs doc_id, text and source; other columns pass through, whatever their names, but
+    columns of the four result names are replaced. ``taken`` counts the words the mix
+    takes of the row, repeats included: whole epochs, one more below the cut, and
+    at the cut the words still missing (rows equal in id and text share these
+    equally). Null text has size 0, long texts count whole; null sources form one source, the last. An
+    empty table gives an empty result. ``slim`` keeps only doc_id and the results.
+    """
+    out = _mixed(docs, mix, slim)
+    return out if slim else out.select(*(F.col(f"mx_row.`{c}`") for c in docs.columns if c not in _RESULTS), *_RESULTS)
+
+
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: rows of ``docs``, each once per epoch it is taken for.
 
     Whole texts only: the row at the cut is taken again if at least half of its
-    words are. A row of no words is kept once.
+    words are. A row of no words, null text included, is kept once; repeated rows are each taken so often. All columns
+    keep their values, whatever their names; an empty table stays empty.
     """
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
-    out = mix_sources(docs.select("*", *[F.col(c).alias(f"mx_kept_{c}") for c in ("size", "source_size", "target", "taken") if c in docs.columns]), mix)
-    repeated = out.withColumn("mx_times", times).where("mx_times > 0").withColumn("mx_time", F.explode(F.sequence(F.lit(1), "mx_times")))
-    return repeated.select(*[F.col(f"mx_kept_{c}").alias(c) if f"mx_kept_{c}" in repeated.columns else F.col(c) for c in docs.columns])
+    repeated = _mixed(docs, mix).withColumn("mx_times", times).where("mx_times > 0").withColumn("mx_time", F.explode(F.sequence(F.lit(1), "mx_times")))
+    return repeated.select(*(F.col(f"mx_row.`{c}`") for c in docs.columns))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -154,6 +154,41 @@ def test_shards_are_equal_and_in_random_order(spark):
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in rows} == {r["doc_id"]: (r["shard"], r["slot"]) for r in again}
 
 
+def test_query_of_shards_against_brute_force(spark, tmp_path):
+    """All columns of ``op10_sharding``: its digests, the law, the slots."""
+    rows = [(i, t) for i, t in enumerate(["", None, "é日本 x", "a" * 70_000, *["same"] * 300, *(f"text {i}" for i in range(900))])] + [(None, "no id"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op10_sharding(spark, str(tmp_path)).collect()
+    want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(slots) == list(range(8)) and {len(s) for s in slots.values()} <= {len(rows) // 8, len(rows) // 8 + 1}
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_equal_rows_spread_over_buckets(spark):
+    """A third of the rows are one row in everything; its copies still stand all over the permutation."""
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, NULL, id) AS doc_id", "if(id % 3 = 0, 'again', concat('t', id)) AS text", "map('a', 1) AS m", "array(1, 2) AS key")
+    plan = sharding.Shuffle(bucket_bytes=2_000)
+    rows = sorted(sharding.shuffled_shards(df, plan).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(tuple(r) for r in df.select("doc_id", "text").collect())
+    copies = [i for i, r in enumerate(rows) if r["doc_id"] is None]
+    assert all(80 < sum(lo <= i < lo + 300 for i in copies) < 120 for lo in range(0, 3000, 300)) and rows[0]["m"] == {"a": 1}
+    again = sharding.shuffled_shards(df, plan).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = "mx_row mx_size mx_key mx_range mx_times mx_taken row bucket h0 h1 k n pos rows place start b to weight marks sh_bucket".split()
+    df = spark.createDataFrame([(i, f"some words {i}", "abc"[i % 3], *(f"own {n}" for n in names)) for i in range(30)], ["doc_id", "text", "source", *names])
+    for out in (sharding.shuffled_shards(df), mixing.mix_sources(df), mixing.mixed_documents(df)):
+        kept = out.collect()
+        assert set(df.columns) <= set(out.columns) and len(kept) >= 30 and all(r[n] == f"own {n}" for r in kept for n in names)
+
+
 def dice(a, b):
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
