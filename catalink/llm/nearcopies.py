@@ -5,8 +5,8 @@ and from bands of minwise hashes, which also reach the pairs that differ in more
 keys allow. Every candidate is verified by the Jaccard likeness of the sets of shingles.
 Texts of equal words collapse first. All pairs of a small band are candidates; the rows of a
 larger one meet eight of its rows (``Likeness.hubs``), so candidates grow with the rows. Where a larger band then
-still holds several components, its rows are compared across them by their minwise hashes, within a task
-and in blocks, and what is nearly alike is verified too: no band is cut short.
+still holds several components, its rows are compared across them within a task, in blocks, by their minwise hashes
+and then by their shingles: no band is cut short, and a task gives links that join components, not all pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ class Likeness:
     band: int = 5  #: minwise hashes of a band; a pair of likeness 0.8 shares one of 20 bands at 99.96 %
     group: int = 16  #: rows of a band that all meet each other
     hubs: int = 8  #: rows, the same for all bands where they have them, that the rows of a larger band meet
-    nearly: float = 0.64  #: share of equal minwise hashes that two rows of a larger band need to be verified; 99.99 % of pairs at 0.8 have it
+    nearly: float = 0.64  #: share of equal minwise hashes that two rows of a larger band need to be compared; 99.99 % of pairs at 0.8 have it
+    kept: int = 1024  #: least shingles that are compared there; longer texts that seem alike by them, within 4 deviations, are verified as a whole
     block: int = 4096  #: rows of a band that are compared at once
 
 
@@ -87,8 +88,7 @@ def band_keys(least: np.ndarray, how: Likeness) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
-    """``doc_id, text_key, node, fp, bands, least``: ``node`` is a hash of the words, ``bands`` the keys' bytes and ``least``
-    16 bits of each minwise hash (both null without a word)."""
+    """``doc_id, text_key, node, fp, bands``: ``node`` is a hash of the words, ``bands`` the keys' bytes (null without a word)."""
 
     def run(batches):
         import xxhash
@@ -96,21 +96,18 @@ def sketches(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
         factors = _factors(how)
         for batch in batches:
             for part in slices(batch, 2):
-                node, fp, bands, low = [], [], [], []
+                node, fp, bands = [], [], []
                 for t in part.column(2):
                     w = words_of(t.as_py())
                     h = shingles(w, how)
                     node.append(xxhash.xxh64_intdigest(b" ".join(w), how.seed))
                     fp.append(simhash_of(h))
-                    least = least_hashes(h, factors) if w else None
-                    bands.append(band_keys(least, how).tobytes() if w else None)
-                    low.append((least >> np.uint64(40)).astype("<u2").tobytes() if w else None)
+                    bands.append(band_keys(least_hashes(h, factors), how).tobytes() if w else None)
                 numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
-                rows = [part.column(0), part.column(1), *numbers, pa.array(bands, pa.binary()), pa.array(low, pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, ["doc_id", "text_key", "node", "fp", "bands", "least"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, pa.array(bands, pa.binary())], ["doc_id", "text_key", "node", "fp", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, fp long, bands binary, least binary")
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, fp long, bands binary")
 
 
 def shared_bands(nodes: DataFrame, how: Likeness = Likeness()) -> DataFrame:
@@ -146,42 +143,80 @@ def _different(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def across(low: np.ndarray, comp: np.ndarray, how: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different ``comp`` whose minwise hashes ``low`` (rows, hashes) are nearly alike; rows of the largest one meet all others only."""
+def compared(texts: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """``texts`` (node, text) -> ``node, low, few``: 16 bits of each minwise hash, and the ``kept`` least different shingles in order."""
+
+    def run(batches):
+        factors = _factors(how)
+        for batch in batches:
+            for part in slices(batch, 1):
+                low, few = [], []
+                for t in part.column(1):
+                    h = np.unique(shingles(words_of(t.as_py()), how))
+                    low.append((least_hashes(h, factors) >> np.uint64(40)).astype("<u2").tobytes())
+                    few.append(h[: how.kept].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(low, pa.binary()), pa.array(few, pa.binary())], ["node", "low", "few"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, low binary, few binary")
+
+
+def seem_alike(p: np.ndarray, q: np.ndarray, how: Likeness) -> tuple[bool, bool]:
+    """(alike by their least shingles, certain): exact where both have fewer than ``kept``."""
+    both = np.intersect1d(p, q, assume_unique=True)
+    if len(p) < how.kept and len(q) < how.kept:
+        return len(both) >= how.least * (len(p) + len(q) - len(both)), True
+    least = np.union1d(p, q)[: how.kept]
+    share = np.isin(least, both, assume_unique=True).mean()
+    return share >= how.least - 4 * np.sqrt(how.least * (1 - how.least) / len(least)), False
+
+
+def across(low: np.ndarray, few: list[np.ndarray], comp: np.ndarray, how: Likeness) -> list[tuple[int, int]]:
+    """Pairs of rows that are alike, or seem so, and join different ``comp``; each row is compared with all of others'."""
     kind, of, many = np.unique(comp, return_inverse=True, return_counts=True)
-    rest = np.flatnonzero(of != many.argmax())
+    rest = np.flatnonzero(of != many.argmax())  # rows of the largest one meet all others only
     least, rank = how.nearly * low.shape[1], np.full(len(low), -1)
     rank[rest] = np.arange(len(rest))
-    a, b = [], []
+    pairs = []
     for i in rest.tolist():
         j = np.flatnonzero((of != of[i]) & (rank < rank[i]))
-        j = j[(low[j] == low[i]).sum(axis=1) >= least]
-        a.append(np.full(len(j), i))
-        b.append(j)
-    return (np.concatenate(a), np.concatenate(b)) if a else (rest, rest)
+        for k in j[(low[j] == low[i]).sum(axis=1) >= least].tolist():
+            if of[k] == of[i]:
+                continue  # joined by a row before
+            alike, certain = seem_alike(few[i], few[k], how)
+            if alike:
+                pairs.append((i, k))
+            if alike and certain:
+                of[of == of[i]] = of[k]
+    return pairs
+
+
+def crossing(met: DataFrame, roots: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """``key, node, n, comp``: the rows of larger bands that hold several components of ``roots``."""
+    large = met.where(F.col("n") > how.group).select("key", "node", "n").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    several = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return large.join(several, "key", "left_semi")
 
 
-def unmet(met: DataFrame, nodes: DataFrame, roots: DataFrame, how: Likeness = Likeness()) -> DataFrame:
-    """``a, b``: pairs of nodes of a larger band that are in different components of ``roots`` and nearly alike."""
-    large = met.where(F.col("n") > how.group).select("key", "node", "n").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    several = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = large.join(several, "key", "left_semi").join(nodes.select("node", "least"), "node")
+def unmet(rest: DataFrame, texts: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """``a, b``: pairs of nodes that are alike, or seem so, and join the components of ``crossing``."""
+    rows = rest.join(compared(texts, how), "node")
     blocks = F.ceil(F.col("n") / how.block).cast("int")
     split = (
         rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         # a pair of blocks is named by hash; rows of two pairs that share a name are compared too, which does no harm
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "comp", "node", "least")
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "comp", "node", "low", "few")
     )
 
     def found(group):
         # a RecordBatch; its rows are whole groups
-        key = group.column(0).to_numpy()
-        for lo, hi in zip(*_runs(key)):
-            low = np.frombuffer(b"".join(group.column(3).slice(lo, hi - lo).to_pylist()), "<u2").reshape(hi - lo, -1)
-            node = group.column(2).slice(lo, hi - lo).to_numpy()
-            a, b = across(low, group.column(1).slice(lo, hi - lo).to_numpy(), how)
-            for at in range(0, len(a), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a[at : at + 50_000]]), pa.array(node[b[at : at + 50_000]])], ["a", "b"])
+        for lo, hi in zip(*_runs(group.column(0).to_numpy())):
+            own = group.slice(lo, hi - lo)
+            low = np.frombuffer(b"".join(own.column(3).to_pylist()), "<u2").reshape(hi - lo, -1)
+            pairs = across(low, [np.frombuffer(x, np.uint64) for x in own.column(4).to_pylist()], own.column(1).to_numpy(), how)
+            node = own.column(2).to_numpy()
+            if pairs:
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(node[list(a)]), pa.array(node[list(b)])], ["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -244,23 +279,22 @@ def labelled(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     Texts without a word, null ones among them, are a component. Long texts are taken whole.
     """
     rows = stored(sketches(docs, how), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("least").alias("least"))
-    nodes = stored(nodes, "nodes")
+    nodes = stored(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     met = stored(shared_bands(nodes, how), "met")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "candidates")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        one = nodes.join(ends, "node", "left_semi").select("node", "text_key")
+    def texts(wanted: DataFrame) -> DataFrame:
+        one = nodes.join(wanted.distinct(), "node", "left_semi").select("node", "text_key")
         of = docs.select(F.xxhash64("text").alias("text_key"), "text").join(one, "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
-        texts = stored(of.join(one, "text_key").select("node", "text"), "texts")
-        return stored(verified(pairs, texts, how), "verified")
+        return stored(of.join(one, "text_key").select("node", "text"), "texts")
 
-    links = alike(candidates(nodes, met, how))
+    pairs = stored(candidates(nodes, met, how), "candidates")
+    links = stored(verified(pairs, texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), how), "verified")
     roots = components(links)
-    more = stored(unmet(met, nodes, roots, how), "unmet")
-    if not more.isEmpty():
-        roots = components(links.union(alike(more)))
+    rest = stored(crossing(met, roots, how), "crossing")
+    if not rest.isEmpty():
+        own = texts(rest.select("node"))
+        more = stored(verified(stored(unmet(rest, own, how), "unmet"), own, how), "verified")
+        roots = components(links.union(more))
     return rows.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 

@@ -69,11 +69,18 @@ def test_chains_that_hubs_do_not_join_are_found(spark):
 
 
 def test_rows_are_compared_across_components():
-    rng = np.random.default_rng(1)
-    low = rng.integers(0, 2, (60, 100)).astype(np.uint16)
-    comp = rng.choice([5, 5, 5, 7, 9], 60)
-    got = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in nearcopies.across(low, comp, nearcopies.Likeness(nearly=0.5))))}
-    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if comp[i] != comp[j] and (low[i] == low[j]).sum() >= 50}
+    texts = drifting(n=40) + edited(seed=8, base=3, each=10, edits=(1, 9))
+    sets = [np.unique(nearcopies.shingles(nearcopies.words_of(t))) for t in texts]
+    factors = nearcopies._factors(nearcopies.Likeness())
+    low = np.array([(nearcopies.least_hashes(h, factors) >> np.uint64(40)).astype("<u2") for h in sets])
+    want, comp = roots(len(texts), alike(texts)), np.random.default_rng(2).permutation(len(texts)) % 50
+    joined = [(i, j) for i in range(len(comp)) for j in range(i) if comp[i] == comp[j]]
+    for how in (nearcopies.Likeness(), nearcopies.Likeness(kept=100)):
+        pairs = nearcopies.across(low, [h[: how.kept] for h in sets], comp.copy(), how)
+        sure = [p for p in pairs if tuple(sorted(p, reverse=True)) in set(alike(texts))]
+        assert len(sure) == len(pairs) or how.kept == 100
+        assert roots(len(texts), joined + sure) == roots(len(texts), joined + alike(texts))
+    assert len(set(want)) > 3
 
 
 def test_odd_rows_of_near_copies(odd, none):
