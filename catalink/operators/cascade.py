@@ -60,40 +60,61 @@ def excluded(pairs: DataFrame, files: DataFrame, entries: DataFrame, hubs: bool
     return marked.where(keep).select(*pairs.columns)
 
 
-def content(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def best_content(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``file_id, item_id, score, runner_up`` of files that one entry's notes fit far better than all others."""
     e = _entries(entries.where("is_document"))
     pairs = excluded(scoring.scores(files, e, weights), files, entries)
-    return _linked(accept(top2(pairs, "file_id", "item_id", "score"), "score", *limits.content), entries, _label("Content Match"))
+    return accept(top2(pairs, "file_id", "item_id", "score"), "score", *limits.content)
 
 
-def blank_forms(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def best_blank(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The same among forms only."""
     e = _entries(entries.where("is_document").where(is_blank_form("clean_title")))
-    best = top2(scoring.scores(files, e, weights), "file_id", "item_id", "score")
-    return _linked(accept(best, "score", *limits.blank), entries, _label("Blank Form Match"))
+    return accept(top2(scoring.scores(files, e, weights), "file_id", "item_id", "score"), "score", *limits.blank)
 
 
-def elimination(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def best_unclaimed(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The best of the unclaimed entries that beats all the others; files need words."""
     e = _entries(entries.where("is_document"))
     pairs = excluded(scoring.scores(files.where(F.size("words") > 0), e, weights), files, entries, own_name=False)
-    return _linked(accept(top2(pairs, "file_id", "item_id", "score"), "score", limits.unclaimed, 0, strict=True), entries, _label("Process of Elimination"))
+    return accept(top2(pairs, "file_id", "item_id", "score"), "score", limits.unclaimed, 0, strict=True)
 
 
-def covers(files: DataFrame, images: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The nearest cover by Hamming distance. Catalog images are few; every file meets each of them."""
+def content(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    return _linked(best_content(files, entries, weights, limits), entries, _label("Content Match"))
+
+
+def blank_forms(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    return _linked(best_blank(files, entries, weights, limits), entries, _label("Blank Form Match"))
+
+
+def elimination(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    return _linked(best_unclaimed(files, entries, weights, limits), entries, _label("Process of Elimination"))
+
+
+def best_covers(files: DataFrame, images: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``file_id, item_id, distance, runner_up``: the nearest cover by Hamming distance. Catalog images are few; every file meets each of them."""
     i = small(images.where("phash is not null").select(F.col("pos").alias("item_id"), "phash"))
     pairs = files.where("cover_hash is not null").join(i).select("file_id", "item_id", hamming("cover_hash", "phash").alias("distance"))
-    best = top2(pairs, "file_id", "item_id", "distance", limits.no_runner_up, smallest=True)
+    return top2(pairs, "file_id", "item_id", "distance", limits.no_runner_up, smallest=True)
+
+
+def covers(files: DataFrame, images: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    best = best_covers(files, images, limits)
     near = best.where((F.col("distance") <= limits.cover[0]) & (F.col("runner_up") - F.col("distance") >= limits.cover[1]))
     names = images.select(F.col("pos").alias("item_id"), "original_name")
     return near.join(names, "item_id").select("file_id", F.col("original_name").alias("target_title"), F.format_string("Cover Match (distance %d)", "distance").alias("match_method"))
 
 
-def back_covers(files: DataFrame, entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def best_back_covers(files: DataFrame, entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     f = files.select("file_id", "clean_name", F.coalesce("ocr_back", F.lit("")).alias("text"))
     e = entries.where("is_document").select(F.col("pos").alias("item_id"), clean_text("notes").alias("clean_notes"))
     pairs = excluded(phrases.phrase_scores(f, e, limits.phrase_text), files, entries, hubs=False)
-    return _linked(accept(top2(pairs, "file_id", "item_id", "score"), "score", *limits.phrase), entries, _label("Back Cover Match"))
+    return accept(top2(pairs, "file_id", "item_id", "score"), "score", *limits.phrase)
+
+
+def back_covers(files: DataFrame, entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    return _linked(best_back_covers(files, entries, limits), entries, _label("Back Cover Match"))
 
 
 def front_pages(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -172,8 +193,9 @@ def _entries(entries: DataFrame) -> DataFrame:
     return entries.withColumn("item_id", F.col("pos"))
 
 
-def link(files: DataFrame, entries: DataFrame, images: DataFrame, cache: DataFrame, store: Store, limits: Limits = Limits()) -> DataFrame:
-    """Plans of a batch: ``pos, stem, target_title, match_method`` (null: unmatched).
+def link(files: DataFrame, entries: DataFrame, images: DataFrame, cache: DataFrame, store: Store, limits: Limits = Limits(), skipped: DataFrame | None = None) -> DataFrame:
+    """Plans of a batch: ``pos, stem, target_title, match_method`` (null: unmatched; refused plans say why). Names of
+    ``skipped`` files (stem), which an incremental run leaves alone, are claimed, and stay where they are.
 
     ``files``: pos, stem, sha256, size, page_count, text (clean), ocr_front, ocr_back, cover_hash. ``entries``: as made by
     ``catalog.derived``, with siblings and display names. ``images``: pos, original_name, clean_name, core_name, phash.
@@ -186,15 +208,17 @@ def link(files: DataFrame, entries: DataFrame, images: DataFrame, cache: DataFra
     ], store))
     plan1 = f.select("file_id", "stem").join(first, "file_id", "left")
     left = f.join(first.select("file_id"), "file_id", "left_anti")
-    free = store(entries.join(first.select(F.col("target_title").alias("display_name")).distinct(), "display_name", "left_anti"))
+    claimed = first.select(F.col("target_title").alias("display_name"))
+    claimed = claimed if skipped is None else claimed.union(skipped.select("stem"))
+    free = store(entries.join(claimed.distinct(), "display_name", "left_anti"))
     second = store(through(left, [
         lambda x: elimination(x, free, weights, limits), lambda x: covers(x, images, limits), lambda x: back_covers(x, entries, limits),
         lambda x: front_pages(x, entries, weights, limits), *names(left, entries, images),
     ], store))
     plan2 = constraints.refuse_duplicates(left.select("file_id", "stem").join(second, "file_id", "left"))
-    plan2 = constraints.refuse_stable_names(plan2, plan1).select("file_id", "target_title", "match_method")
+    plan2 = constraints.refuse_stable_names(plan2, plan1, skipped).select("file_id", "target_title", "match_method")
     overlay = plan1.join(plan2.select("file_id", F.col("target_title").alias("t2"), F.col("match_method").alias("m2")), "file_id", "left")
-    plans = overlay.select(F.col("file_id").alias("pos"), "stem", F.coalesce("target_title", "t2").alias("target_title"), F.coalesce("match_method", F.when(F.col("t2").isNotNull(), F.col("m2"))).alias("match_method"))
+    plans = overlay.select(F.col("file_id").alias("pos"), "stem", F.coalesce("target_title", "t2").alias("target_title"), F.coalesce("match_method", "m2").alias("match_method"))
     return constraints.tag_ambiguous(plans, catalog.ambiguous_titles(entries)).select("pos", "stem", "target_title", "match_method")
 
 

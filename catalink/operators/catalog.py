@@ -9,6 +9,24 @@ from catalink.functions.text import clean_text, name_tokens, significant_words,
 from catalink.operators.select import small
 
 
+GRAM = 3  #: letters of the runs by which strings that contain one another meet
+
+
+def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """``s, l``: all pairs of a string of ``inner`` (s) that lies in one of ``outer`` (l). The empty string lies in every one.
+
+    A string has all runs of letters of those that lie in it, so the two meet at one run of the inner one, picked by hash.
+    Strings shorter than a run are few, as different ones; they are looked for in each outer one.
+    """
+    inner, outer = inner.select("s").where("s IS NOT NULL").distinct(), outer.select("l").where("l IS NOT NULL").distinct()
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substr(c, i, F.lit(GRAM)))
+    long = F.length("s") >= GRAM
+    keyed = inner.where(long).select("s", F.array_min(F.transform(grams(F.col("s")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"].alias("g"))
+    runs = outer.where(F.length("l") >= GRAM).select("l", F.explode(F.array_distinct(grams(F.col("l")))).alias("g"))
+    met = runs.join(keyed, "g").where(F.contains("l", F.col("s"))).select("s", "l")
+    return met.union(outer.join(small(inner.where(~long)), F.contains(F.col("l"), F.col("s"))).select("s", "l"))
+
+
 def derived(entries: DataFrame) -> DataFrame:
     """Add what matching needs to ``pos, title, notes, year, application_path``; rows without a title go.
 
@@ -41,20 +59,19 @@ def with_siblings(entries: DataFrame) -> DataFrame:
 def with_display_name(entries: DataFrame, images: DataFrame) -> DataFrame:
     """Add ``display_name``, found once an entry: the image of its application's name, the one of its core title (of
     several, the first with the same first word), the first whose name has the core title, or the title itself."""
-    keyed = entries.withColumn("_row", F.struct("pos"))
+    keyed = entries
     first = lambda what: F.min_by("original_name", F.col("img_pos")).alias(what)
     img = images.select(F.col("pos").alias("img_pos"), "original_name", "clean_name", "core_name")
     by_app = img.groupBy("clean_name").agg(first("_app")).withColumnRenamed("clean_name", "application_clean")
     lead = lambda c: F.element_at(F.split(c, " "), 1)
     by_core = img.groupBy("core_name").agg(first("_core")).withColumnRenamed("core_name", "core_title")
     by_code = img.withColumn("_lead", lead("clean_name")).groupBy("core_name", "_lead").agg(first("_code")).withColumnRenamed("core_name", "core_title")
-    inside = (
-        keyed.where("core_title <> ''").select("pos", "core_title").join(small(img), F.contains(F.col("clean_name"), F.col("core_title")))
-        .groupBy("pos").agg(first("_inside"))
-    )
+    found = containing(entries.where("core_title <> ''").select(F.col("core_title").alias("s")), img.select(F.col("clean_name").alias("l")))
+    named = img.groupBy("clean_name").agg(F.min(F.struct("img_pos", "original_name")).alias("_img"))
+    inside = found.join(named, F.col("l") == F.col("clean_name")).groupBy(F.col("s").alias("core_title")).agg(F.min("_img")["original_name"].alias("_inside"))
     out = (
         keyed.join(by_app, "application_clean", "left").withColumn("_lead", lead("clean_title")).join(by_code, ["core_title", "_lead"], "left")
-        .join(by_core, "core_title", "left").join(inside, "pos", "left")
+        .join(by_core, "core_title", "left").join(inside, "core_title", "left")
     )
     app = F.when(F.col("application_clean") != "", F.col("_app"))
     name = F.coalesce(app, F.when(F.col("_core").isNotNull(), F.coalesce("_code", "_core")), F.col("_inside"), F.replace("title", F.lit(":"), F.lit(" -")))
@@ -74,9 +91,14 @@ def ambiguous_titles(entries: DataFrame) -> DataFrame:
 
 def token_matches(names: DataFrame, entries: DataFrame) -> DataFrame:
     """``name_id, pos``: entries whose clean title has the name's first two tokens in it."""
-    n = names.withColumn("_t", name_tokens("clean_name")).where(F.size("_t") >= 2)
-    e = small(entries.select("pos", "clean_title"))
-    return n.join(e, F.contains(F.col("clean_title"), F.col("_t")[0]) & F.contains(F.col("clean_title"), F.col("_t")[1])).select("name_id", "pos")
+    n = names.withColumn("_t", name_tokens("clean_name")).where(F.size("_t") >= 2).select("name_id", F.get("_t", F.lit(0)).alias("_a"), F.get("_t", F.lit(1)).alias("_b"))
+    titles = entries.select(F.col("clean_title").alias("l"))
+    tokens = n.select(F.col("_a").alias("s")).union(n.select("_b"))
+    found = containing(tokens, titles)
+    wanted = n.select("_a", "_b").distinct()
+    # titles that contain the first token, and of those the ones that contain the second
+    both = wanted.join(found, F.col("_a") == F.col("s")).where(F.contains("l", F.col("_b"))).select("_a", "_b", "l")
+    return n.join(both, ["_a", "_b"]).join(entries.select("pos", "clean_title"), F.col("l") == F.col("clean_title")).select("name_id", "pos")
 
 
 def token_choice(names: DataFrame, entries: DataFrame) -> DataFrame:
@@ -97,10 +119,19 @@ def token_choice(names: DataFrame, entries: DataFrame) -> DataFrame:
 
 def substring_choice(names: DataFrame, items: DataFrame, item_name: str) -> DataFrame:
     """``name_id, pos``: the first item whose name contains the name or lies in it. An empty item name lies in all."""
-    i = small(items.select("pos", item_name))
-    n = names.where(F.length("clean_name") >= 4)
-    either = F.contains(F.col(item_name), F.col("clean_name")) | F.contains(F.col("clean_name"), F.col(item_name))
-    return n.join(i, either).groupBy("name_id").agg(F.min("pos").alias("pos"))
+    n = names.where(F.length("clean_name") >= 4).select("name_id", "clean_name")
+    first = items.groupBy(F.col(item_name).alias("item")).agg(F.min("pos").alias("pos"))
+    around = either(n, first.select("item"))
+    best = around.join(first, "item").groupBy("clean_name").agg(F.min("pos").alias("pos"))
+    return n.join(best, "clean_name").select("name_id", "pos")
+
+
+def either(names: DataFrame, items: DataFrame) -> DataFrame:
+    """``clean_name, item``: different pairs of which one contains the other."""
+    n, i = names.select("clean_name"), items.select("item")
+    inside = containing(n.select(F.col("clean_name").alias("s")), i.select(F.col("item").alias("l"))).select(F.col("s").alias("clean_name"), F.col("l").alias("item"))
+    outside = containing(i.select(F.col("item").alias("s")), n.select(F.col("clean_name").alias("l"))).select(F.col("l").alias("clean_name"), F.col("s").alias("item"))
+    return inside.union(outside).distinct()
 
 
 def software_choice(names: DataFrame, entries: DataFrame) -> DataFrame:
@@ -110,9 +141,9 @@ def software_choice(names: DataFrame, entries: DataFrame) -> DataFrame:
     keys = e.select("pos", F.explode(F.array_distinct(F.array("clean_title", "core_title", "application_clean"))).alias("clean_name"))
     exact = n.join(keys, "clean_name").groupBy("name_id").agg(F.count("*").alias("k"), F.min("pos").alias("pos")).where("k = 1").select("name_id", "pos")
     rest = n.join(exact, "name_id", "left_anti")
-    either = F.contains(F.col("clean_title"), F.col("clean_name")) | F.contains(F.col("clean_name"), F.col("clean_title"))
-    pairs = rest.join(small(e.where("clean_title <> ''")), either)
-    best = pairs.withColumn("len", F.length("clean_title")).groupBy("name_id", "len").agg(F.count("*").alias("k"), F.min("pos").alias("pos"))
+    titles = e.where("clean_title <> ''").groupBy("clean_title").agg(F.count("*").alias("k"), F.min("pos").alias("pos"))
+    pairs = either(rest, titles.select(F.col("clean_title").alias("item"))).join(titles, F.col("item") == F.col("clean_title"))
+    best = rest.join(pairs.select("clean_name", "k", "pos", F.length("item").alias("len")), "clean_name").groupBy("name_id", "len").agg(F.sum("k").alias("k"), F.min("pos").alias("pos"))
     longest = best.groupBy("name_id").agg(F.max("len").alias("len"), F.max_by("k", "len").alias("k"), F.max_by("pos", "len").alias("pos"))
     return exact.union(longest.where("k = 1").select("name_id", "pos"))
 

@@ -5,30 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalink.functions.text import safe_file_name
+
 LOW = "(low confidence)"
+# What a refused plan's method says.
+SAME_TARGET = "Skipped -> %d files in this batch all matched '%s' - ambiguous, left for manual review"
+STAYING_NAME = "Skipped -> matches the current name of a different file staying in place ('%s') - ambiguous, left for manual review"
+#: A numbered copy's name: its base and its number.
+NUMBERED = r"^(.*) \((\d+)\)\.pdf$"
 
 
 def duplicate_targets(plans: DataFrame, target: str = "target_title") -> DataFrame:
-    """Add ``is_duplicate``: more than one row wants the target. All of them are then refused."""
-    counts = plans.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("_n"))
-    return plans.join(counts, target, "left").withColumn("is_duplicate", F.coalesce(F.col("_n") > 1, F.lit(False))).drop("_n")
+    """Add ``is_duplicate`` and ``n_same``, how many rows want the target: if more than one, all of them are refused.
+
+    Rows without a target are spread by their other columns, so they never meet in one task."""
+    one = F.when(F.col(target).isNull(), F.xxhash64(*plans.columns))
+    n = F.count(target).over(Window.partitionBy(target, one))
+    return plans.withColumn("n_same", n).withColumn("is_duplicate", F.col("n_same") > 1)
 
 
 def refuse_duplicates(plans: DataFrame) -> DataFrame:
-    """Plans of one target all lose it."""
+    """Plans of one target all lose it, and say so."""
     marked = duplicate_targets(plans)
-    return marked.withColumn("target_title", F.when(~F.col("is_duplicate"), F.col("target_title"))).drop("is_duplicate")
+    label = F.format_string(SAME_TARGET, "n_same", "target_title")
+    method = [F.when(F.col("is_duplicate"), label).otherwise(F.col("match_method")).alias("match_method")] if "match_method" in plans.columns else []
+    rest = [c for c in plans.columns if c not in ("target_title", "match_method")]
+    return marked.select(*rest, F.when(~F.col("is_duplicate"), F.col("target_title")).alias("target_title"), *method)
 
 
-def refuse_stable_names(second: DataFrame, first: DataFrame) -> DataFrame:
-    """Plans of pass 2 lose a target that is a file's name now, if pass 1 keeps the name or has no target for the file.
+def refuse_stable_names(second: DataFrame, first: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """Plans of pass 2 lose a target whose file name is a file's name now, if pass 1 keeps the name or has no target for the file.
 
-    Names of files that pass 2 itself will move count too. A file may keep its own name.
+    Names of files that pass 2 itself will move count too, and those of ``skipped`` files (stem). A file may keep its own name.
     """
-    stable = first.where(F.col("target_title").isNull() | (F.col("target_title") == F.col("stem"))).select(F.col("stem").alias("_stem")).distinct()
-    out = second.join(stable, F.col("target_title") == F.col("_stem"), "left")
-    keep = F.col("_stem").isNull() | (F.col("target_title") == F.col("stem"))
-    return out.withColumn("target_title", F.when(keep, F.col("target_title"))).drop("_stem")
+    name, wanted = F.concat("stem", F.lit(".pdf")), safe_file_name("target_title")
+    stable = first.where(F.col("target_title").isNull() | (wanted == name)).select(name.alias("_name"))
+    if skipped is not None:
+        stable = stable.union(skipped.select(name.alias("_name")))
+    out = second.withColumn("_wanted", wanted).join(stable.distinct(), F.col("_wanted") == F.col("_name"), "left")
+    refused = F.col("_name").isNotNull() & (F.col("_wanted") != name)
+    method = [F.when(refused, F.format_string(STAYING_NAME, "target_title")).otherwise(F.col("match_method")).alias("match_method")] if "match_method" in second.columns else []
+    rest = [c for c in second.columns if c not in ("target_title", "match_method")]
+    return out.select(*rest, F.when(~refused, F.col("target_title")).alias("target_title"), *method)
 
 
 def tag_ambiguous(plans: DataFrame, notes: DataFrame) -> DataFrame:
@@ -44,7 +62,7 @@ def collision_groups(files: DataFrame) -> DataFrame:
 
     ``files`` has file_name and sha256. A group of equal bytes is identical; an unread file makes none.
     """
-    base = F.regexp_extract("file_name", r"^(.*) \((\d+)\)\.pdf$", 1)
+    base = F.regexp_extract("file_name", NUMBERED, 1)
     suffixed = files.withColumn("base", base).where("base <> ''")
     plain = files.where(F.lower("file_name").endswith(".pdf")).select("file_name", "sha256", F.regexp_replace("file_name", r"(?i)\.pdf$", "").alias("base"))
     lower = plain.select(F.lower("base").alias("_b")).distinct()
@@ -59,7 +77,7 @@ def collision_groups(files: DataFrame) -> DataFrame:
 def collision_queue(files: DataFrame) -> DataFrame:
     """``base, file_name, place`` of groups to review: the plain name first, then by name."""
     groups = collision_groups(files).where("not is_identical").select("base")
-    name = F.coalesce(F.nullif(F.regexp_extract("file_name", r"^(.*) \((\d+)\)\.pdf$", 1), F.lit("")), F.regexp_replace("file_name", r"(?i)\.pdf$", ""))
+    name = F.coalesce(F.nullif(F.regexp_extract("file_name", NUMBERED, 1), F.lit("")), F.regexp_replace("file_name", r"(?i)\.pdf$", ""))
     order = Window.partitionBy("base").orderBy(F.col("file_name") != F.concat("base", F.lit(".pdf")), "file_name")
     return files.withColumn("base", name).join(groups, "base").select("base", "file_name", (F.row_number().over(order) - 1).alias("place"))
 
@@ -67,9 +85,15 @@ def collision_queue(files: DataFrame) -> DataFrame:
 def plain_before_suffixed(files: DataFrame) -> DataFrame:
     """Add ``place``: files in order, those with a number whose plain sibling is there after all others.
 
-    One row a file and no text: the order of a directory."""
-    base = F.regexp_extract("file_name", r"^(.*) \((\d+)\)\.pdf$", 1)
+    Rows move to ranges of the order; counts of the ranges before, a row each, turn places in a range into places of all."""
+    base = F.regexp_extract("file_name", NUMBERED, 1)
     named = files.withColumn("_base", F.lower(F.when(base != "", F.concat(base, F.lit(".pdf")))))
     plain = files.select(F.lower("file_name").alias("_plain")).distinct()
-    late = named.join(plain, F.col("_base") == F.col("_plain"), "left").withColumn("_late", F.col("_plain").isNotNull())
-    return late.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_late", "pos")) - 1).drop("_base", "_plain", "_late")
+    late = named.join(plain, F.col("_base") == F.col("_plain"), "left").withColumn("_late", F.col("_plain").isNotNull()).drop("_base", "_plain")
+    span = files.agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"), F.count("*").alias("_n"))  # one row
+    step = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.greatest(F.lit(1), F.ceil(F.col("_n") / 100_000))))
+    dealt = late.crossJoin(F.broadcast(span)).withColumn("_range", F.floor((F.col("pos") - F.col("_lo")) / step)).drop("_lo", "_hi", "_n")
+    order = Window.partitionBy(F.lit(0)).orderBy("_late", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_late", "_range").agg(F.count("*").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(order), F.lit(0))).drop("_in")
+    own = Window.partitionBy("_late", "_range").orderBy("pos")
+    return dealt.join(counts, ["_late", "_range"]).withColumn("place", F.col("_before") + F.row_number().over(own) - 1).drop("_late", "_range", "_before")
