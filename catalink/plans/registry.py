@@ -6,13 +6,14 @@ are entries, parts and pages give names. Columns that they lack follow from a fo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalink.functions import text as T
-from catalink.operators import actions, catalog, constraints, phrases, review, scoring, state
+from catalink.operators import actions, cascade, catalog, constraints, phrases, review, scoring, state
 from catalink.operators.select import accept, small, top2
 from catalink.plans import sql
+from catalink.plans.run import storing
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,26 +21,42 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as files: 2000 characters a page, 30 bytes a character on even pages counts and 90 on odd ones."""
+    """Documents as files: 2000 characters a page, 30 bytes a character on even pages counts and 90 on odd ones.
+
+    A file has the name of the entry whose number is its own modulo 40."""
     pages = F.ceil(F.col("n_chars") / 2000).cast("int")
-    text = T.clean_text("text")
-    return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("file_id"), text.alias("text"), T.significant_words(text).alias("words"), pages.alias("page_count"),
-        F.when(pages % 2 == 0, 30_000.0).otherwise(130_000.0).alias("bytes_per_page"),
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), T.clean_text("text").alias("text"), pages.alias("page_count"))
+    names = small(_catalog(spark, sf).select(F.col("item_id").alias("_n"), F.col("clean_title").alias("clean_name")))
+    d = d.join(names, F.col("file_id") % 40 == F.col("_n"), "left").drop("_n")
+    return d.select(
+        "file_id", "text", T.significant_words("text").alias("words"), "page_count",
+        F.when(F.col("page_count") % 2 == 0, 30_000.0).otherwise(130_000.0).alias("bytes_per_page"), F.coalesce("clean_name", F.lit("")).alias("clean_name"),
     )
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark passages as entries: the first six words are the title, and the notes name a page count."""
-    clean = T.clean_text("text")
+    clean = table(spark, sf, "benchmark").select("item_id", "text", T.clean_text("text").alias("clean_notes"))
     pages = F.format_string("%02d", F.col("item_id") % 3 + 10)
-    return table(spark, sf, "benchmark").select(
-        "item_id", clean.alias("clean_notes"), T.significant_words(clean).alias("words"),
+    return clean.select(
+        "item_id", "clean_notes", T.significant_words("clean_notes").alias("words"),
         F.concat("text", F.lit(" "), pages, F.lit(" pages"), F.when(F.col("item_id") % 2 == 0, " in color").otherwise("")).alias("notes"),
-        F.array_join(F.slice(F.split(clean, " "), 1, 6), " ").alias("core_title"),
+        F.array_join(F.slice(F.split("clean_notes", " "), 1, 6), " ").alias("core_title"),
     )
 
 
+def _catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Those entries with all that the cascade needs: numbers make some of them forms, hub books, placeholders with siblings, or software."""
+    n = F.col("item_id")
+    suffix = F.when(n % 5 == 1, " record sheets").when(n % 11 == 3, " monster manual").otherwise("")
+    e = entries(spark, sf).withColumn("title", F.concat(F.lit("TSR"), n + 2000, F.lit(": "), "core_title", suffix))
+    clean = e.withColumn("clean_title", T.clean_text("title")).drop("core_title")
+    return clean.withColumns({
+        "pos": n, "core_title": T.strip_code("clean_title"), "display_name": F.replace("title", F.lit(":"), F.lit(" -")),
+        "is_document": n % 13 != 4, "has_specific_sibling": n % 7 == 2,
+    })
+
+
 def clean_text(spark, sf):
     d = table(spark, sf, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), T.clean_text("text").alias("clean"))
     p = table(spark, sf, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), T.clean_text("html").alias("clean"))
@@ -52,6 +69,20 @@ def strip_codes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", clean.alias("clean_title"), T.strip_code(clean).alias("core_title"), T.strip_any_code(clean).alias("bare_title"))
 
 
+def text_flags(spark, sf):
+    """Flags and names of titles made from parts."""
+    n = F.col("p_partkey")
+    kind = F.when(n % 4 == 0, " Record Sheets").when(n % 4 == 1, ": Monster-Manual").when(n % 4 == 2, ' "Map"? ').otherwise("/Hex Pad")
+    title = F.concat("p_name", kind)
+    clean = T.clean_text(title)
+    method = F.when(n % 3 == 0, "Catalog Name (low confidence)").when(n % 3 == 1, "Filename Tokens (12 pages, low confidence)").otherwise("Content Match")
+    parts = T.split_name(F.concat(F.when(n % 5 == 0, ".").otherwise(""), "p_name", F.when(n % 2 == 0, ".tar.gz").otherwise("")))
+    return table(spark, sf, "part").select(
+        "p_partkey", T.is_blank_form(clean).alias("is_blank"), T.is_hub_book(clean).alias("is_hub"), T.safe_file_name(title).alias("file_name"),
+        T.without_low_confidence(method).alias("method"), parts["stem"].alias("stem"), parts["ext"].alias("ext"),
+    )
+
+
 def token_idf(spark, sf):
     return scoring.idf(entries(spark, sf)).select("word", F.round("idf", 6).alias("idf"))
 
@@ -62,10 +93,13 @@ def overlap_scores(spark, sf):
 
 
 def content_match(spark, sf):
-    e = entries(spark, sf)
-    pairs = scoring.overlap(files(spark, sf), e, scoring.idf(e))
-    best = accept(top2(pairs, "file_id", "item_id", "overlap"), "overlap", 0.90, 0.20)
-    return best.select("file_id", "item_id", F.round("overlap", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"))
+    """The cascade's content layer: bonuses, exclusions, and files that have an excluded entry's name."""
+    e = _catalog(spark, sf)
+    return _scored(cascade.best_content(files(spark, sf), e, scoring.idf(e)))
+
+
+def _scored(best):
+    return best.select("file_id", "item_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"))
 
 
 def bonus_candidates(spark, sf):
@@ -80,20 +114,25 @@ def verbatim_title(spark, sf):
 
 def unclaimed_match(spark, sf):
     """Entries that content matches have claimed are gone; files that they linked are, too."""
-    f, e = files(spark, sf), entries(spark, sf)
-    weights = scoring.idf(e)
-    claimed = content_match(spark, sf)
-    pairs = scoring.overlap(f.join(claimed, "file_id", "left_anti"), e.join(claimed, "item_id", "left_anti"), weights)
-    best = accept(top2(pairs, "file_id", "item_id", "overlap"), "overlap", 0.30, 0, strict=True)
-    return best.select("file_id", "item_id", F.round("overlap", 6).alias("score"))
+    store = storing(spark)
+    f, e = store(files(spark, sf)), store(_catalog(spark, sf))
+    weights = store(scoring.idf(e))
+    claimed = store(cascade.best_content(f, e, weights).select("file_id", "item_id"))
+    free = e.join(claimed.join(e, "item_id").select("display_name").distinct(), "display_name", "left_anti")
+    return _scored(cascade.best_unclaimed(f.join(claimed, "file_id", "left_anti"), free, weights)).drop("runner_up")
 
 
 def blank_pool_match(spark, sf):
-    """Entries of even number stand in for forms."""
-    e = entries(spark, sf)
-    pairs = scoring.overlap(files(spark, sf), e.where("item_id % 2 = 0"), scoring.idf(e))
-    best = accept(top2(pairs, "file_id", "item_id", "overlap"), "overlap", 0.50, 0.40)
-    return best.select("file_id", "item_id", F.round("overlap", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"))
+    """The cascade's layer of forms."""
+    e = _catalog(spark, sf)
+    return _scored(cascade.best_blank(files(spark, sf), e, scoring.idf(e)))
+
+
+def cascade_labels(spark, sf):
+    """Content matches as plans: the target's display name, and the method without its figures."""
+    e = _catalog(spark, sf)
+    plans = cascade.content(files(spark, sf), e, scoring.idf(e))
+    return plans.select("file_id", "target_title", F.regexp_replace("match_method", r"[0-9.]+", "#").alias("method"))
 
 
 def hamming_match(spark, sf):
@@ -124,10 +163,11 @@ def _sha(spark, sf):
 
 
 def fingerprint_join(spark, sf):
-    """Labelled documents fill the cache."""
+    """The cascade's cache layer; labelled documents fill the cache, every seventh without a title."""
     d = _sha(spark, sf)
-    cache = d.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id").groupBy("sha256").agg(F.concat(F.lit("title "), F.min("doc_id")).alias("title"))
-    return d.join(cache, "sha256").select("doc_id", "title")
+    known = d.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id").groupBy("sha256").agg(F.min("doc_id").alias("m"))
+    cache = known.select("sha256", F.when(F.col("m") % 7 != 0, F.concat(F.lit("title "), "m")).alias("title"), F.lit("m").alias("matched_via"))
+    return cascade.cached(d.withColumn("file_id", F.col("doc_id")), cache)
 
 
 def duplicate_groups(spark, sf):
@@ -145,6 +185,17 @@ def duplicate_targets(spark, sf):
     return constraints.duplicate_targets(plans).select("file_id", "target_title", "is_duplicate")
 
 
+def refused_plans(spark, sf):
+    """Plans of parts for pass 2: targets wanted twice, and names of files that stay, are refused with a label."""
+    n = F.col("file_id")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("file_id"), F.concat(F.lit("f"), "p_partkey").alias("stem"))
+    first = p.select("file_id", "stem", F.when(n % 3 == 0, F.concat(F.lit("t"), n)).alias("target_title"))
+    target = F.when(n % 7 == 0, F.concat(F.lit("both "), F.floor(n / 14))).when(n % 5 == 0, F.concat(F.lit("f"), n + 1, F.lit("?"))).when(n % 11 == 0, F.col("stem")).otherwise(F.concat(F.lit("own "), n))
+    second = p.where("file_id % 3 <> 0").select("file_id", "stem", target.alias("target_title"), F.lit("m").alias("match_method"))
+    plans = constraints.refuse_stable_names(constraints.refuse_duplicates(second), first)
+    return plans.select("file_id", "target_title", "match_method")
+
+
 def _parts(spark, sf):
     p = table(spark, sf, "part")
     code = F.when(F.col("p_partkey") % 7 == 0, F.lit("TSRXXXX: ")).otherwise(F.concat(F.lit("TSR"), F.col("p_partkey") % 5 + 2000, F.lit(": ")))
@@ -213,7 +264,8 @@ def cache_merge(spark, sf):
     e = table(spark, sf, "events")
     cols = [F.concat(F.lit("u"), F.col("user_id")).alias("sha256"), F.concat("event_type", F.lit(" "), F.col("event_id")).alias("title"), F.col("event_type").alias("matched_via"), F.col("event_id").alias("pos")]
     old = state.latest(e.where("event_id % 4 = 0"), "user_id", "event_id").select(*cols[:3])
-    return state.merge_cache(old, e.where("event_id % 4 = 1").select(*cols), e.where("event_id % 97 = 2").select(*cols))
+    human = F.col("event_id") % 97 == 2
+    return state.merge_cache(old, e.where((F.col("event_id") % 4 != 0) & ~human).select(*cols), e.where(human).select(*cols))
 
 
 def index_merge(spark, sf):
@@ -237,16 +289,22 @@ def title_search(spark, sf):
     return hits.select(F.concat("p_name", F.when(F.col("c"), " (already assigned)").otherwise("")).alias("label"))
 
 
+def _plans(spark, sf):
+    """Parts as files that want their part's name: every ninth stays, and of each name the first has it already if its number is even."""
+    n, first = F.col("p_partkey"), F.min("p_partkey").over(Window.partitionBy("p_name"))
+    p = table(spark, sf, "part").withColumn("first", first)
+    old = F.when((n == F.col("first")) & (n % 2 == 0), F.concat("p_name", F.lit(".pdf"))).otherwise(F.concat(F.lit("f"), n, F.lit(".pdf")))
+    return p.select(n.alias("pos"), old.alias("old"), F.when((n % 9 != 0) | (n == F.col("first")), F.col("p_name")).alias("title"))
+
+
 def suffix_numbering(spark, sf):
-    """Plans of a directory of parts: many want one name. The directory's plan is carried out by the driver."""
-    rows = [(f"f{r['p_partkey']}.pdf", r["p_name"]) for r in table(spark, sf, "part").select("p_partkey", "p_name").orderBy("p_partkey").collect()]
-    return spark.createDataFrame(actions.free_names(rows, [old for old, _ in rows]), "old string, new string")
+    return actions.numbered(_plans(spark, sf))
 
 
 def undo_plan(spark, sf):
-    done = [(r["old"], r["new"]) for r in suffix_numbering(spark, sf).collect()]
-    back, _ = actions.undo_plan(done, [new for _, new in done[::2]])
-    return spark.createDataFrame(back, "old string, new string")
+    """Every third of the new names is gone by now."""
+    done = suffix_numbering(spark, sf)
+    return actions.undone(done, done.where("pos % 3 <> 0").select(F.col("new").alias("file_name")))
 
 
 def review_decisions(spark, sf):
@@ -278,7 +336,7 @@ def file_order(spark, sf):
     """Parts in order of number, the second copies of four after all others."""
     n = F.col("p_partkey")
     name = F.concat(F.lit("f"), F.floor(n / 4), F.when(n % 4 == 1, " (2)").otherwise(F.when(n % 4 == 0, "").otherwise(F.concat(F.lit(" "), n))), F.lit(".pdf"))
-    return constraints.plain_before_suffixed(table(spark, sf, "part").where("p_partkey % 3 <> 0").select(n.alias("pos"), name.alias("file_name"))).select("pos", F.col("place").cast("long").alias("place"))
+    return constraints.plain_before_suffixed(table(spark, sf, "part").select(n.alias("pos"), name.alias("file_name"))).select("pos", F.col("place").cast("long").alias("place"))
 
 
 def cascade_link(spark, sf):
@@ -290,7 +348,7 @@ def cascade_link(spark, sf):
 
 QUERIES = (
     clean_text, strip_codes, token_idf, overlap_scores, content_match, bonus_candidates, verbatim_title, unclaimed_match, blank_pool_match, hamming_match,
-    phrase_match, shingle_candidates, fingerprint_join, duplicate_groups, duplicate_targets, sibling_flags, display_name, ambiguous_titles, legacy_token,
+    phrase_match, shingle_candidates, fingerprint_join, duplicate_groups, duplicate_targets, refused_plans, cascade_labels, text_flags, sibling_flags, display_name, ambiguous_titles, legacy_token,
     substring_names, nonpdf_longest, claimed_setops, incremental_partition, cache_merge, index_merge, newest_k, title_search, suffix_numbering, undo_plan, review_decisions, run_counters, already_correct, file_order, cascade_link,
 )
 

@@ -54,11 +54,26 @@ def best(pairs: str, score: str = "overlap", default: str = "0", direction: str
   FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY {score} {direction}, item_id) AS k FROM {pairs}) WHERE k <= 2 GROUP BY file_id)"""
 
 
-CONTENT = f"content AS MATERIALIZED (SELECT * FROM {best('overlap')} WHERE score >= 0.9 AND round(score - runner_up, 9) >= 0.2)"
+COLOUR = "(contains(lower(notes), 'color') OR contains(lower(notes), 'colour'))"
+PAGED = r"list_contains(list_transform(regexp_extract_all(lower(notes), '(\d{2,3})[\s-]?page', 1), lambda x: CAST(x AS INT)), page_count)"
+CATALOG = f"""
+c0 AS (SELECT item_id, words, notes, 'TSR' || CAST(item_id + 2000 AS VARCHAR) || ': ' || core_title || CASE WHEN item_id % 5 = 1 THEN ' record sheets' WHEN item_id % 11 = 3 THEN ' monster manual' ELSE '' END AS title FROM entries),
+c1 AS (SELECT *, {clean('title')} AS clean_title, item_id % 13 <> 4 AS is_document FROM c0),
+catalog_ AS MATERIALIZED (SELECT *, {strip_code('clean_title')} AS core_title, replace(title, ':', ' -') AS display_name, contains(clean_title, 'record sheet') AS blank,
+  contains(clean_title, 'record sheet') OR contains(clean_title, 'monster manual') OR item_id % 7 = 2 AS out_ FROM c1),
+named AS MATERIALIZED (SELECT f.*, coalesce(c.clean_title, '') AS clean_name FROM files f LEFT JOIN catalog_ c ON c.item_id = f.file_id % 40),
+crossed_ AS (SELECT f.file_id, c.item_id, o.overlap, f.clean_name, len(f.words) AS n_words, c.clean_title, c.blank, c.out_, c.display_name,
+    CASE WHEN page_count > 0 AND {PAGED} THEN 0.3 ELSE 0 END::DOUBLE AS page, CASE WHEN {verbatim('c.core_title', 'f.text')} THEN 0.2 ELSE 0 END::DOUBLE AS titled,
+    CASE WHEN {COLOUR} AND bpp > 120000 THEN 0.1 WHEN NOT {COLOUR} AND bpp > 0 AND bpp < 40000 THEN 0.05 ELSE 0 END::DOUBLE AS density
+  FROM named f CROSS JOIN catalog_ c LEFT JOIN overlap o ON o.file_id = f.file_id AND o.item_id = c.item_id WHERE c.is_document),
+scored_ AS MATERIALIZED (SELECT *, round(coalesce(overlap, 0) + page + density + titled, 9) AS score FROM crossed_ WHERE overlap IS NOT NULL OR page > 0 OR titled > 0),
+fit AS (SELECT * EXCLUDE (score), score FROM scored_ WHERE NOT out_ OR clean_title = clean_name)"""
+CONTENT = f"{CATALOG}, content AS MATERIALIZED (SELECT * FROM {best('fit', 'score')} WHERE score >= 0.9 AND round(score - runner_up, 9) >= 0.2)"
 SHA = "d AS MATERIALIZED (SELECT doc_id, source, n_chars, sha256(text) AS sha FROM documents)"
 UNCLAIMED = f"""{CONTENT},
-pool AS (SELECT o.* FROM overlap o WHERE file_id NOT IN (SELECT file_id FROM content) AND item_id NOT IN (SELECT item_id FROM content)),
-unclaimed AS MATERIALIZED (SELECT * FROM {best('pool')} WHERE score >= 0.3 AND score > runner_up)"""
+claimed_ AS (SELECT display_name FROM content JOIN catalog_ USING (item_id)),
+pool AS (SELECT * FROM scored_ WHERE NOT out_ AND n_words > 0 AND file_id NOT IN (SELECT file_id FROM content) AND display_name NOT IN (SELECT display_name FROM claimed_)),
+unclaimed AS MATERIALIZED (SELECT * FROM {best('pool', 'score')} WHERE score >= 0.3 AND score > runner_up)"""
 PARTS = f"""
 p0 AS (SELECT p_partkey AS pos,
   CASE WHEN p_partkey % 7 = 0 THEN 'TSRXXXX: ' ELSE 'TSR' || CAST(p_partkey % 5 + 2000 AS VARCHAR) || ': ' END || p_name || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE ' ' || p_brand END AS title,
@@ -75,11 +90,10 @@ LATEST = "SELECT * FROM events WHERE {} QUALIFY row_number() OVER (PARTITION BY
 
 
 def oracles() -> dict[str, str]:
-    colour = "(contains(lower(notes), 'color') OR contains(lower(notes), 'colour'))"
-    paged = r"list_contains(list_transform(regexp_extract_all(lower(notes), '(\d{2,3})[\s-]?page', 1), lambda x: CAST(x AS INT)), page_count)"
+    colour, paged = COLOUR, PAGED
     tokens = f"list_filter(string_split(clean_name, ' '), lambda w: len(w) > 1 AND NOT list_contains({_list(STOPWORDS)}, w))"
     bits = " + ".join(f"CAST((a.embedding[{i}] > 0) <> (b.embedding[{i}] > 0) AS BIGINT)" for i in range(1, 65))
-    return {
+    found = {
         "clean_text": f"""SELECT origin, id, md5(c) AS digest, CAST(len(c) AS BIGINT) AS n_chars FROM (
             SELECT 'documents' AS origin, doc_id AS id, {clean('text')} AS c FROM documents UNION ALL SELECT 'pages', page_id, {clean('html')} FROM pages)""",
         "strip_codes": f"""SELECT p_partkey, c AS clean_title, {strip_code('c')} AS core_title, {strip_any('c')} AS bare_title FROM (
@@ -96,8 +110,25 @@ def oracles() -> dict[str, str]:
             SELECT file_id, item_id, round(round(coalesce(overlap, 0) + page + density + titled, 9), 6) AS score FROM scored WHERE overlap IS NOT NULL OR page > 0 OR titled > 0""",
         "verbatim_title": f"WITH {FILES}, {ENTRIES} SELECT file_id, item_id FROM files, entries WHERE {verbatim('core_title', 'text')}",
         "unclaimed_match": f"{BASE}, {UNCLAIMED} SELECT file_id, item_id, round(score, 6) AS score FROM unclaimed",
-        "blank_pool_match": f"""{BASE}, even AS (SELECT * FROM overlap WHERE item_id % 2 = 0)
-            SELECT file_id, item_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up FROM {best('even')} WHERE score >= 0.5 AND round(score - runner_up, 9) >= 0.4""",
+        "blank_pool_match": f"""{BASE}, {CATALOG}, forms AS (SELECT * FROM scored_ WHERE blank)
+            SELECT file_id, item_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up FROM {best('forms', 'score')} WHERE score >= 0.5 AND round(score - runner_up, 9) >= 0.4""",
+        "cascade_labels": f"{BASE}, {CONTENT} SELECT file_id, display_name AS target_title, 'Content Match (score #, next #)' AS method FROM content JOIN catalog_ USING (item_id)",
+        "text_flags": """WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, p_partkey % 3 AS m, CASE WHEN p_partkey % 5 = 0 THEN '.' ELSE '' END || p_name AS stem, p_name, CASE WHEN p_partkey % 2 = 0 THEN '.gz' ELSE '' END AS ext FROM part)
+            SELECT p_partkey, k IN (0, 3) AS is_blank, k = 1 AS is_hub,
+              p_name || CASE k WHEN 0 THEN ' Record Sheets' WHEN 1 THEN ' Monster-Manual' WHEN 2 THEN ' Map' ELSE 'Hex Pad' END || '.pdf' AS file_name,
+              CASE m WHEN 0 THEN 'Catalog Name' WHEN 1 THEN 'Filename Tokens (12 pages)' ELSE 'Content Match' END AS method, stem || CASE WHEN ext <> '' THEN '.tar' ELSE '' END AS stem, ext FROM p""",
+        "refused_plans": """WITH p AS (SELECT p_partkey AS i, 'f' || p_partkey AS stem FROM part WHERE p_partkey % 3 <> 0),
+            t AS (SELECT *, CASE WHEN i % 7 = 0 THEN 'both ' || CAST(i // 14 AS VARCHAR) WHEN i % 5 = 0 THEN 'f' || CAST(i + 1 AS VARCHAR) || '?' WHEN i % 11 = 0 THEN stem ELSE 'own ' || i END AS t FROM p),
+            c AS (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM t),
+            s AS (SELECT *, n = 1 AND t LIKE 'f%?' AND i + 1 IN (SELECT i FROM p) AS stays FROM c)
+            SELECT i AS file_id, CASE WHEN n = 1 AND NOT stays THEN t END AS target_title,
+              CASE WHEN n > 1 THEN 'Skipped -> ' || n || ' files in this batch all matched ' || chr(39) || t || chr(39) || ' - ambiguous, left for manual review'
+                   WHEN stays THEN 'Skipped -> matches the current name of a different file staying in place (' || chr(39) || t || chr(39) || ') - ambiguous, left for manual review' ELSE 'm' END AS match_method FROM s""",
+        "suffix_numbering": """WITH p AS (SELECT p_partkey AS pos, p_name, min(p_partkey) OVER (PARTITION BY p_name) AS first_ FROM part),
+            q AS (SELECT *, pos = first_ AND pos % 2 = 0 AS right_, pos % 9 <> 0 OR pos = first_ AS wants FROM p),
+            r AS (SELECT *, row_number() OVER (PARTITION BY p_name, wants ORDER BY NOT right_, pos) AS k FROM q)
+            SELECT pos, CASE WHEN right_ THEN p_name || '.pdf' ELSE 'f' || pos || '.pdf' END AS old,
+              CASE WHEN wants THEN p_name || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' END AS new FROM r""",
         "hamming_match": f"""WITH pairs AS (SELECT a.vec_id AS file_id, b.vec_id AS item_id, {bits} AS distance FROM embeddings a, embeddings b
               WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
             SELECT file_id, item_id, score AS distance, CAST(runner_up AS BIGINT) AS runner_up, score <= 20 AND runner_up - score >= 3 AS accepted FROM {best('pairs', 'distance', '999', 'ASC')}""",
@@ -105,7 +136,8 @@ def oracles() -> dict[str, str]:
             fs AS (SELECT DISTINCT file_id, s FROM (SELECT file_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) AS s FROM (SELECT file_id, string_split(text, ' ') AS w FROM files))),
             es AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) AS s FROM (SELECT item_id, string_split(clean_notes, ' ') AS w FROM entries)))
             SELECT file_id, item_id, count(*) AS shared FROM fs JOIN es USING (s) GROUP BY ALL""",
-        "fingerprint_join": f"WITH {SHA}, cache AS (SELECT sha, 'title ' || min(doc_id) AS title FROM d WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY sha) SELECT doc_id, title FROM d JOIN cache USING (sha)",
+        "fingerprint_join": f"""WITH {SHA}, cache AS (SELECT sha, min(doc_id) AS m FROM d WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY sha)
+            SELECT doc_id AS file_id, 'title ' || m AS target_title, 'Fingerprint Cache: m' AS match_method FROM d JOIN cache USING (sha) WHERE m % 7 <> 0""",
         "duplicate_groups": f"""WITH {SHA},
             n AS (SELECT source || ' ' || CAST(doc_id // 80 AS VARCHAR) AS base, (doc_id // 20) % 4 + 1 AS k, sha FROM d),
             grouped AS (SELECT base, count(*) AS members, count(DISTINCT sha) AS distinct_hashes, bool_or(k = 1) AS plain, bool_or(k > 1) AS numbered FROM n GROUP BY base)
@@ -149,7 +181,7 @@ def oracles() -> dict[str, str]:
             FROM (SELECT doc_id, m, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND m % 7 <> 0 AS ok FROM d JOIN cache USING (sha))""",
         "cache_merge": f"""WITH old AS ({LATEST.format('event_id % 4 = 0')}),
             rows_ AS (SELECT user_id, event_type, event_id, 0 AS k, -event_id AS p FROM events WHERE event_id % 97 = 2
-              UNION ALL SELECT user_id, event_type, event_id, 1, 0 FROM old UNION ALL SELECT user_id, event_type, event_id, 2, event_id FROM events WHERE event_id % 4 = 1)
+              UNION ALL SELECT user_id, event_type, event_id, 1, 0 FROM old UNION ALL SELECT user_id, event_type, event_id, 2, event_id FROM events WHERE event_id % 4 <> 0 AND event_id % 97 <> 2)
             SELECT 'u' || user_id AS sha256, event_type || ' ' || event_id AS title, event_type AS matched_via FROM rows_ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k, p) = 1""",
         "index_merge": f"""WITH idx AS ({LATEST.format('event_id % 2 = 0')}), r AS ({LATEST.format('event_id % 2 = 1')}), sure AS (SELECT * FROM r WHERE event_id % 5 <> 0)
             SELECT 'u' || user_id AS file_name, event_id AS size, event_id AS mtime, event_type AS sha256 FROM idx WHERE user_id NOT IN (SELECT user_id FROM sure)
@@ -171,6 +203,8 @@ def oracles() -> dict[str, str]:
             SELECT count(*) AS files, count(t) AS matched, count(*) FILTER (t = stem) AS already_correct, count(*) FILTER (m = 'c') AS from_cache,
               count(*) FILTER (m = 'l') AS low_confidence, count(*) FILTER (t IS NULL) AS unmatched FROM r""",
         "already_correct": "SELECT p_partkey, p_name IN (SELECT p_name FROM part WHERE p_partkey % 40 = 0) AS is_correct FROM part",
-        "file_order": """WITH f AS (SELECT p_partkey AS pos, p_partkey // 4 AS g, p_partkey % 4 AS k FROM part WHERE p_partkey % 3 <> 0)
+        "file_order": """WITH f AS (SELECT p_partkey AS pos, p_partkey // 4 AS g, p_partkey % 4 AS k FROM part)
             SELECT pos, row_number() OVER (ORDER BY k = 1 AND EXISTS (SELECT 1 FROM f p WHERE p.g = f.g AND p.k = 0), pos) - 1 AS place FROM f""",
     }
+    found["undo_plan"] = f"SELECT pos, new AS old, old AS new FROM ({found['suffix_numbering']}) WHERE new IS NOT NULL AND old <> new AND pos % 3 <> 0"
+    return found
