@@ -12,14 +12,13 @@ the parse is that of the whole text.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalink.llm.shared import documents, held_out, slices, stored
+from catalink.llm.shared import documents, held, held_out, slices, stored
 
 UNDETERMINED = "und"
 STRANGER = 1.7  #: times as many phrases a letter as the 0.99 quantile are those of a language not learnt
@@ -120,8 +119,9 @@ class Languages:
         for c, i in known.items():
             self.number[ord(c)] = i
         texts = [self.numbers(t) for _, t in samples]
-        tables = [automaton(t, how.alphabet) for t in texts]
-        self.base = (np.concatenate([[0], np.cumsum([len(t) for t in tables])[:-1]]) * how.alphabet).astype(np.int64)[:, None]
+        self.width = int(self.codes.max()) + 1  # symbols in use
+        tables = [automaton(t, self.width) for t in texts]
+        self.base = (np.concatenate([[0], np.cumsum([len(t) for t in tables])[:-1]]) * self.width).astype(np.int64)[:, None]
         self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
         self.cost = np.log2(np.array([len(t) for t in texts]) + 2.0)
 
@@ -158,7 +158,7 @@ class Languages:
         active = np.searchsorted(-sizes[order], -np.arange(len(grid)), "left")  # lanes longer than each step
         for c, k in zip(sorted_grid, active.tolist()):
             c, old = c[:k], now[:, :k]
-            to = self.table[self.base + old * np.int64(self.how.alphabet) + c]
+            to = self.table[self.base + old * np.int64(self.width) + c]
             none = to == 0
             found[:, :k] += none | (old == 0)
             now[:, :k] = np.where(none, self.table[self.base + c], to)
@@ -168,7 +168,7 @@ class Languages:
 
     def _settle(self, grid: np.ndarray, sizes: np.ndarray, follows: np.ndarray, count: np.ndarray, state: np.ndarray) -> None:
         """Correct ``count`` and ``state`` of lanes that follow another one, walked from the root, for the state in which that one ended."""
-        table, base, width = self.table, self.base[:, 0], np.int64(self.how.alphabet)
+        table, base, width = self.table, self.base[:, 0], np.int64(self.width)
         more, entry = np.zeros_like(count), np.zeros_like(state)  # phrases to be added, and the state they were found for
         ends = state.copy()  # of the walks from the root
         while True:
@@ -216,10 +216,9 @@ class Languages:
         ]
 
 
-@lru_cache(maxsize=1)
 def languages(samples: tuple[tuple[str, str], ...], how: Parsing) -> Languages:
     """Built once in a worker, kept between tasks."""
-    return Languages(samples, how)
+    return held((samples, how), lambda: Languages(samples, how))
 
 
 def excerpts(docs: DataFrame, how: Parsing = Parsing()) -> list[tuple[str, list[str]]]:

@@ -39,6 +39,17 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What ``make`` gives for a key, kept in a worker between tasks until another key is asked for: one model or tokenizer at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def free_names(taken: list[str], *wanted: str) -> list[str]:
     """Names like the wanted ones that no column has, in any case."""
     known, out = {c.lower() for c in taken}, []

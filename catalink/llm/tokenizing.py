@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from catalink.llm.shared import held
+
 #: Entries of each of the caches, about 150 bytes each.
 CACHED = 1_000_000
 #: Between any character and a lone space or line end that a visible character follows.
@@ -168,10 +169,9 @@ class Encoder:
         return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, spaces: bool, cached: int = CACHED) -> Encoder:
-    """One encoder for each vocabulary in a worker, kept between tasks."""
-    return Encoder(path, spaces, cached)
+    """A vocabulary's encoder, kept in a worker between tasks."""
+    return held((path, spaces, cached), lambda: Encoder(path, spaces, cached))
 
 
 def vocabulary(name: str) -> str:
