@@ -281,7 +281,7 @@ def identified(docs: DataFrame, how: Parsing = Parsing()) -> DataFrame:
     def run(batches):
         model = languages(samples.value, how)
         for batch in batches:
-            for part in slices(batch, 1, 1000, 4 << 20):
+            for part in slices(batch, 1, 500, 2 << 20):
                 found = model.judge(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in zip(*found))], ["doc_id", "lang_pred", "score", "phrases"])
 
@@ -307,7 +307,7 @@ def in_known_language(docs: DataFrame, most: float = 0.7, how: Parsing = Parsing
 
         for batch in batches:
             at = batch.schema.names.index("text")
-            for part in slices(batch, at, 1000, 4 << 20):
+            for part in slices(batch, at, 500, 2 << 20):
                 texts = part.column(at).to_pylist()
                 keep = [fits(n, p, t) for (n, _, p), t in zip(model.judge(texts), texts)]
                 yield part.filter(pa.array(keep, pa.bool_()))

@@ -29,6 +29,7 @@ class Packing:
     window: int = 4096
     part: int = 1024  #: what is left of a document is cut into near-equal parts of at most this
     group: int = 1024  #: parts that are spread together, about
+    batch: int = 8 << 20  #: bytes of text that are encoded at once, about
     cached: int = CACHED  #: entries of each of the tokenizer's caches
 
 
@@ -99,7 +100,7 @@ def pieces(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
     def run(batches):
         enc, row = encoder(path, False, how.cached), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, 1, 3000, 8 << 20):
+            for part in slices(batch, 1, 3000, how.batch):
                 ids, ends = enc.encode_all(part.column(1), how.end)
                 out, lo = [], 0
                 for doc_id, hi in zip(part.column(0).to_pylist(), ends.tolist()):

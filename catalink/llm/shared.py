@@ -70,6 +70,7 @@ def slices(batch: pa.RecordBatch, column: int | str, rows: int = 500, size: int
         hi = min(lo + rows, max(lo + 1, full))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    pa.default_memory_pool().release_unused()  # else a worker holds what its largest batch took
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # workers also keep what the stages before have loaded, so the tokenizer's caches are smaller here
-    return packing.pack(docs, packing.Packing(cached=250_000))
+    # executors have run four stages before: smaller batches and caches keep their memory down
+    return packing.pack(docs, packing.Packing(batch=2 << 20, cached=80_000))
 
 
 STAGES = [
