@@ -4,13 +4,16 @@ Frames are intra-coded by the lossless JPEG process (8 bits, one component, each
 sample predicted from its left neighbour, the first of a row from above), so bytes go in as samples
 and come out unchanged. A file has the usual headers, its frames as chunks of the ``movi``
 list, and an ``idx1`` index, which reading follows. All frames of a batch of files are coded,
-and decoded, in lockstep by numpy. Shots begin where the histogram differs
+and decoded, in lockstep by numpy. Frames of the baseline process, which other writers use, are decoded one by one to
+their first component, the brightness. A file that can't be decoded gives a row that says why. Shots begin where the histogram differs
 from the last frame's by more than its recent differences let expect.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalink.llm.shared import documents
+from catalink.llm.shared import documents, slices
 
 SIDE = 24  #: of the frames that are written
 SAMPLES = SIDE * SIDE
@@ -203,14 +206,153 @@ def _parse(frame: bytes) -> tuple[int, int, int, tuple[np.ndarray, np.ndarray]]:
     return at + 2 + size, *shape, (length, value)
 
 
+def _zigzag(side: int = 8) -> np.ndarray:
+    """Where each coefficient of a block stands, in the order in which they are coded: diagonals, up and down in turn."""
+    cells = [(r, c) for r in range(side) for c in range(side)]
+    cells.sort(key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1]))
+    return np.array([r * side + c for r, c in cells])
+
+
+_ORDER = _zigzag()
+_COSINE = np.array([[(0.5 if k else 0.5**1.5) * math.cos((2 * x + 1) * k * math.pi / 16) for x in range(8)] for k in range(8)])
+
+
+class _Bits:
+    """Bits of a scan, without stuffing."""
+
+    def __init__(self, data: bytes):
+        data = data.replace(b"\xff\x00", b"\xff") + b"\0\0\0\0"
+        self.words = [int.from_bytes(data[i : i + 8].ljust(8, b"\0"), "big") for i in range(0, len(data), 4)]
+        self.at, self.end = 0, 8 * len(data)
+
+    def take(self, n: int) -> int:
+        if self.at + n > self.end:
+            raise ValueError("a frame ends too early")
+        word = self.words[self.at >> 5]
+        self.at += n
+        return word >> (64 - n - ((self.at - n) & 31)) & ((1 << n) - 1)
+
+    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for n in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (found := codes.get((n, code))) is not None:
+                return found
+        raise ValueError("a code that no table has")
+
+    def number(self, n: int) -> int:
+        v = self.take(n) if n else 0
+        return v if not n or v >> (n - 1) else v - (1 << n) + 1
+
+
+def baseline(frame: bytes) -> np.ndarray:
+    """Samples (height, width) of the first component of a baseline (or extended, 8 bits) image: Huffman codes, dequantisation, inverse DCT."""
+    at, steps, codes, every, parts, shape = 2, {}, {}, 0, [], None
+    while True:
+        mark, marker, size = struct.unpack_from(">BBH", frame, at)
+        body = frame[at + 4 : at + 2 + size]
+        if mark != 0xFF:
+            raise ValueError("damaged headers")
+        if marker == 0xDB:
+            while body:
+                wide, name = body[0] >> 4, body[0] & 15
+                steps[name] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.float64)
+                body = body[1 + 64 * (1 + wide) :]
+        elif marker == 0xC4:
+            while body:
+                counts, n = body[1:17], sum(body[1:17])
+                code, k, table = 0, 17, {}
+                for length in range(1, 17):
+                    for _ in range(counts[length - 1]):
+                        table[length, code] = body[k]
+                        code, k = code + 1, k + 1
+                    code <<= 1
+                codes[body[0] >> 4, body[0] & 15] = table
+                body = body[17 + n :]
+        elif marker == 0xDD:
+            every = int.from_bytes(body[:2], "big")
+        elif marker in (0xC0, 0xC1):
+            bits, height, width, many = struct.unpack_from(">BHHB", body)
+            if bits != 8:
+                raise ValueError("samples must have 8 bits")
+            shape = height, width
+            parts = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "q": body[8 + 3 * i]} for i in range(many)]
+        elif marker == 0xDA:
+            scans = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+            at += 2 + size
+            break
+        elif 0xC2 <= marker <= 0xCF:
+            raise ValueError(f"frames of the JPEG process {marker:#x} are not read")
+        at += 2 + size
+    if shape is None or not all(p["id"] in scans for p in parts):
+        raise ValueError("headers are missing")
+    tall, broad = max(p["v"] for p in parts), max(p["h"] for p in parts)
+    if len(parts) == 1:  # blocks of a lone component aren't interleaved
+        parts[0]["h"] = parts[0]["v"] = tall = broad = 1
+    rows, columns = -(-shape[0] // (8 * tall)), -(-shape[1] // (8 * broad))
+    first = parts[0]
+    blocks = np.zeros((rows * first["v"], columns * first["h"], 64))
+    end = frame.rindex(_END)
+    scan = re.split(rb"\xff[\xd0-\xd7]", frame[at:end]) if every else [frame[at:end]]
+    for unit in range(rows * columns):
+        if unit % (every or rows * columns) == 0:
+            if unit // (every or rows * columns) >= len(scan):
+                raise ValueError("a frame ends too early")
+            bits, last = _Bits(scan[unit // (every or rows * columns)]), [0] * len(parts)
+        for i, p in enumerate(parts):
+            which = scans[p["id"]]
+            dc, ac = codes[0, which >> 4], codes[1, which & 15]
+            for place in range(p["h"] * p["v"]):
+                last[i] += bits.number(bits.symbol(dc))
+                block, k = np.zeros(64) if i == 0 else None, 1
+                while k < 64:
+                    symbol = bits.symbol(ac)
+                    zeros, n = symbol >> 4, symbol & 15
+                    if not n and zeros != 15:
+                        break
+                    k += zeros
+                    value = bits.number(n)
+                    if k > 63:
+                        raise ValueError("a block is too long")
+                    if block is not None:
+                        block[k] = value
+                    k += 1
+                if block is not None:
+                    block[0] = last[0]
+                    y, x = unit // columns * p["v"] + place // p["h"], unit % columns * p["h"] + place % p["h"]
+                    blocks[y, x] = block
+    plain = np.zeros_like(blocks)
+    plain[..., _ORDER] = blocks * steps[first["q"]]
+    plain = plain.reshape(*blocks.shape[:2], 8, 8)
+    samples = np.einsum("ux,abuv,vy->axby", _COSINE, plain, _COSINE).reshape(blocks.shape[0] * 8, -1) + 128
+    # the first component has the full size but for odd samplings
+    up = np.repeat(np.repeat(samples, tall // first["v"], 0), broad // first["h"], 1)
+    return np.clip(np.rint(up[: shape[0], : shape[1]]), 0, 255).astype(np.uint8)
+
+
+def _is_lossless(frame: bytes) -> bool:
+    at = 2
+    while at + 4 <= len(frame):
+        mark, marker, size = struct.unpack_from(">BBH", frame, at)
+        if mark != 0xFF or marker == 0xDA:
+            break
+        if marker in (0xC0, 0xC1):
+            return False
+        at += 2 + size
+    return True
+
+
 def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
-    """Samples (height, width) of each image; images of equal headers are decoded in lockstep."""
+    """Samples (height, width) of each image; lossless images of equal headers are decoded in lockstep."""
     out: list[np.ndarray] = [None] * len(frames)  # type: ignore[list-item]
     known: dict[bytes, tuple] = {}
     kinds: dict[bytes, list[int]] = {}
     for i, f in enumerate(frames):
         head = _HEAD if f.startswith(_HEAD) else None
         if head is None:
+            if not _is_lossless(f):
+                out[i] = baseline(f)
+                continue
             n = _parse(f)[0]
             head = f[:n]
         if head not in known:
@@ -266,12 +408,13 @@ def cuts(samples: np.ndarray, how: Shots = Shots()) -> list[int]:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text as UTF-8, filled up with 255 to whole frames, as an AVI file."""
+    """``doc_id, n_bytes, media``: each text as UTF-8, filled up with 255 to whole frames, as an AVI file.
+
+    Null and empty texts are one frame; long ones are whole, up to the 4 GB of a file. Other columns are ignored."""
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, 1):
                 plain = [(t.as_py() or "").encode() for t in part.column(1)]
                 counts = [max(1, -(-len(p) // SAMPLES)) for p in plain]
                 joined = np.frombuffer(b"".join(p.ljust(n * SAMPLES, b"\xff") for p, n in zip(plain, counts)), np.uint8).reshape(-1, SIDE, SIDE)
@@ -283,36 +426,56 @@ def encoded(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def _decoded(column) -> list[tuple[np.ndarray, float] | None]:
-    """(samples, frames a second) of each file; None for null."""
-    files = [read_avi(m.as_py()) if m.is_valid else None for m in column]
-    samples = decode_frames([f for x in files if x for f in x[0]])
-    out, at = [], 0
-    for x in files:
-        out.append(x and (np.stack(samples[at : at + len(x[0])]), x[1]))
-        at += len(x[0]) if x else 0
-    return out
+def _decoded(column) -> list[tuple[np.ndarray, float] | str | None]:
+    """(samples, frames a second) of each file, or why it can't be decoded; None for null."""
+
+    def each(files: list[bytes]) -> list:
+        read = [read_avi(f) for f in files]
+        samples, at, out = decode_frames([f for x in read for f in x[0]]), 0, []
+        for images, rate in read:
+            if not images:
+                raise ValueError("the file has no intra frames")
+            out.append((np.stack(samples[at : at + len(images)]), rate))
+            at += len(images)
+        return out
+
+    def alone(data: bytes):
+        try:
+            return each([data])[0]
+        except (ValueError, KeyError, IndexError, struct.error, OverflowError) as e:
+            return str(e) or type(e).__name__
+
+    known = [m.as_py() for m in column if m.is_valid]
+    try:
+        found = iter(each(known))
+    except (ValueError, KeyError, IndexError, struct.error, OverflowError):
+        found = map(alone, known)
+    return [next(found) if m.is_valid else None for m in column]
 
 
 def clips(media: DataFrame, how: Shots = Shots()) -> DataFrame:
-    """``doc_id, clip, first_frame, frames, start_s, end_s, level``: timed rows, one a shot.
+    """``doc_id, clip, first_frame, frames, start_s, end_s, level, error``: timed rows, one a shot.
 
-    ``media`` has doc_id and a binary column media. Null media give no rows; a damaged file or one whose frames are coded
-    otherwise raises an error. Clips count from 0; ``level`` is the mean sample.
+    ``media`` has doc_id and a binary column media; other columns are ignored. Null media give no rows. A file that is no AVI, is damaged, or has
+    frames of other processes gives one row, of null but for doc_id and ``error``. Clips count from 0; ``level`` is the mean sample.
+    Equal rows give equal rows each; an empty table gives none.
     """
 
     def run(batches):
-        names = ["doc_id", "clip", "first_frame", "frames", "start_s", "end_s", "level"]
+        names = ["doc_id", "clip", "first_frame", "frames", "start_s", "end_s", "level", "error"]
+        kinds = [pa.int64()] * 4 + [pa.float64()] * 3 + [pa.string()]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part, rows = batch.slice(lo, 200), []
+            for part in slices(batch, 1, 200):
+                rows = []
                 for doc_id, found in zip(part.column(0).to_pylist(), _decoded(part.column(1))):
-                    if found:
-                        rows += [(doc_id, k, a, b - a, a / found[1], b / found[1], level) for k, a, b, level in _clips(found[0], how)]
+                    if isinstance(found, str):
+                        rows.append((doc_id, None, None, None, None, None, None, found))
+                    elif found:
+                        rows += [(doc_id, k, a, b - a, a / found[1], b / found[1], level, None) for k, a, b, level in _clips(found[0], how)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*rows))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, clip long, first_frame long, frames long, start_s double, end_s double, level double")
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, clip long, first_frame long, frames long, start_s double, end_s double, level double, error string")
 
 
 def _clips(samples: np.ndarray, how: Shots):
@@ -321,30 +484,34 @@ def _clips(samples: np.ndarray, how: Shots):
         yield k, a, b, float(samples[a:b].mean())
 
 
-_READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def read_back(media: DataFrame, how: Shots = Shots()) -> DataFrame:
     """Digests of the stored files of ``encoded`` and of the bytes that decoding them gives.
 
     ``feature`` lists the clips as start-end@level, in seconds. Null text is stored as an empty one: one frame of 255. Equal
-    texts give equal files; rows repeat as they do in the input.
+    texts give equal files; rows repeat as they do in the input, other columns are ignored. What can't be decoded has an ``error`` and
+    no payload; an empty table gives no row.
     """
 
     def run(batches):
-        names = [x.split()[0] for x in _READ.split(", ")]
+        fields = [x.split() for x in _READ.split(", ")]
+        kinds = [pa.int64() if k == "long" else pa.string() for _, k in fields]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(lo, 500), []
-                for doc_id, n, stored, (samples, rate) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), _decoded(part.column(2))):
-                    payload, stored = samples.tobytes(), stored.as_py()
+            for part in slices(batch, 2):
+                rows = []
+                for doc_id, n, kept, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), _decoded(part.column(2))):
+                    kept = kept.as_py()
+                    held = (None, None) if kept is None else (len(kept), hashlib.sha256(kept).hexdigest())
+                    if not isinstance(found, tuple):
+                        rows.append((doc_id, n, None, None, None, *held, None, found or "no media"))
+                        continue
+                    samples, rate = found
+                    payload = samples.tobytes()
                     feature = ",".join(f"{a / rate:g}-{b / rate:g}@{level:.3f}" for _, a, b, level in _clips(samples, how))
-                    rows.append((
-                        doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
-                        len(stored), hashlib.sha256(stored).hexdigest(), feature,
-                    ))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*rows))], names)
+                    rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *held, feature, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [n for n, _ in fields])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _READ)
 

@@ -50,6 +50,65 @@ def test_clips_are_timed_and_null_media_skipped(spark, odd):
     assert media.clips(spark.createDataFrame([(1, None)], "doc_id long, media binary")).count() == 0
 
 
+def written_elsewhere(spark, pixels, grey):
+    """A baseline JPEG by Java's own writer, and the pixels that its reader gives back."""
+    jvm = spark._jvm
+    h, w = pixels.shape[:2]
+    kind = jvm.java.awt.image.BufferedImage
+    image = kind(w, h, kind.TYPE_BYTE_GRAY if grey else kind.TYPE_INT_RGB)
+    for y in range(h):
+        for x in range(w):
+            r, g, b = (int(pixels[y, x]),) * 3 if grey else map(int, pixels[y, x])
+            if grey:
+                image.getRaster().setSample(x, y, 0, r)
+            else:
+                image.setRGB(x, y, r << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    if grey:
+        return data, np.array([[back.getRaster().getSample(x, y, 0) for x in range(w)] for y in range(h)])
+    rgb = np.array([[[back.getRGB(x, y) >> s & 255 for s in (16, 8, 0)] for x in range(w)] for y in range(h)])
+    return data, rgb @ [0.299, 0.587, 0.114]
+
+
+@pytest.mark.parametrize("grey", [True, False])
+def test_baseline_frames_of_another_writer(spark, grey):
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[0:21, 0:37]
+    smooth = np.stack([120 + 60 * np.sin(x / 7), 100 + 3.0 * y, 60 + 2 * x], -1) + rng.normal(0, 3, (21, 37, 3))
+    pixels = np.clip(smooth[..., 0] if grey else smooth, 0, 255).astype(int)
+    data, want = written_elsewhere(spark, pixels, grey)
+    got = media.baseline(data)
+    assert got.shape == (21, 37) and np.abs(got.astype(float) - want).max() <= (1 if grey else 3)
+    film = media.avi([data] * 3)
+    rows = media.clips(spark.createDataFrame([(1, film)], "doc_id long, media binary")).collect()
+    assert [(r["first_frame"], r["frames"], r["error"]) for r in rows] == [(0, 3, None)] and abs(rows[0]["level"] - got.mean()) < 1e-9
+
+
+def test_what_cannot_be_decoded_is_a_row(spark):
+    good = media.avi(media.jpeg_frames(np.full((3, 24, 24), 7, np.uint8)))
+    junk = [b"junk", b"", good[:300], good[:-40], b"RIFF\x04\0\0\0AVI ", good.replace(b"\xff\xc3", b"\xff\xc2"), media.avi([b"\xff\xd8nothing"])]
+    df = spark.createDataFrame([(0, good, 5), *((i + 1, j, 1) for i, j in enumerate(junk)), (99, None, 0)], "doc_id long, media binary, n_bytes long")
+    rows = {r["doc_id"]: r for r in media.clips(df).collect()}
+    assert rows.keys() == set(range(8)) and rows[0]["error"] is None and rows[0]["level"] == 7
+    assert all(rows[i]["error"] and rows[i]["clip"] is None for i in range(1, 8))
+    back = {r["doc_id"]: r for r in media.read_back(df).collect()}
+    assert len(back) == 9 and back[0]["feature"] == "0-0.12@7.000" and back[0]["payload_bytes"] == 3 * 576
+    assert all(back[i]["error"] and back[i]["payload_sha256"] is None for i in (*range(1, 8), 99))
+    assert back[1]["media_sha256"] == hashlib.sha256(b"junk").hexdigest()
+
+
+def test_features_are_the_shots_of_the_samples(spark):
+    text = "a" * 5760 + "\u7fff" * 1920 + "zZ" * 1440
+    row = media.read_back(media.encoded(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    data = np.frombuffer(text.encode().ljust(-(-len(text.encode()) // 576) * 576, b"\xff"), np.uint8).reshape(-1, 24, 24)
+    starts = media.cuts(data)
+    ends = [*starts[1:], len(data)]
+    assert row["feature"] == ",".join(f"{a / 25:g}-{b / 25:g}@{data[a:b].mean():.3f}" for a, b in zip(starts, ends)) and len(starts) == 3
+
+
 def coded(ids, how):
     table = binary.Table(np.bincount(ids, minlength=1 << 16), how.bits)
     return table, binary.write_file([1, None], [1, len(ids) - 1], ids, table, how)
