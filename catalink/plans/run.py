@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalink.functions.text import clean_text
-from catalink.operators import cascade, catalog
+from catalink.operators import actions, cascade, catalog, review, state
 
 
 def storing(spark: SparkSession):
@@ -28,11 +29,57 @@ def storing(spark: SparkSession):
     return store
 
 
-def run(files: DataFrame, entries: DataFrame, images: DataFrame, cache: DataFrame, limits: cascade.Limits = cascade.Limits()) -> DataFrame:
+def run(files: DataFrame, entries: DataFrame, images: DataFrame, cache: DataFrame, limits: cascade.Limits = cascade.Limits(), skipped: DataFrame | None = None) -> DataFrame:
     """Plans of a batch from raw entries (pos, title, notes, year, application_path) and features of files."""
     store = storing(files.sparkSession)
     full = store(catalog.with_display_name(catalog.with_siblings(catalog.derived(entries)), images))
-    return cascade.link(files, full, images, cache, store, limits)
+    return cascade.link(files, full, images, cache, store, limits, skipped)
+
+
+@dataclass
+class Batch:
+    """What a run leaves: tables, to be saved or shown."""
+
+    plans: DataFrame  #: pos, stem, target_title, match_method, old, new: of skipped and scanned files, new null if the file stays
+    counters: DataFrame
+    cache: DataFrame
+    index: DataFrame
+    renames: DataFrame  #: the manifest's: pos, old, new
+    low_confidence: DataFrame
+    unmatched: DataFrame
+
+
+def batch(
+    files: DataFrame, entries: DataFrame, images: DataFrame, cache: DataFrame, index: DataFrame, mode: str = "incremental",
+    human: DataFrame | None = None, limits: cascade.Limits = cascade.Limits(),
+) -> Batch:
+    """A whole run. ``files``: features with file_name, size and mtime; ``index``: file_name, size, mtime, sha256.
+
+    ``incremental``: files whose name, size and time the index has, and whose hash the cache names, are not scanned; their
+    names are claimed and stay. ``full``: every file is scanned, and the cache begins anew (its old version stays where it
+    was saved). ``human``: rows of the cache that people decided (sha256, title, matched_via, pos), which go over all others.
+    """
+    if mode not in ("incremental", "full"):
+        raise ValueError("a run is incremental or full")
+    store = storing(files.sparkSession)
+    if mode == "full":
+        cache = cache.where(F.lit(False))
+    parted = store(state.incremental_partition(files.drop("title"), index, cache))
+    skip, scan = parted.where("skip"), parted.where("not skip").drop("skip", "title")
+    skipped = skip.select("pos", "stem", F.col("title").alias("target_title"), F.lit("Fingerprint Cache: unchanged").alias("match_method"))
+    plans = store(run(scan, entries, images, cache, limits, skip.select("stem")).unionByName(skipped))
+    named = parted.select("pos", F.col("file_name").alias("old"), "sha256", "size", "mtime")
+    numbered = actions.numbered(named.join(plans.select("pos", F.col("target_title").alias("title")), "pos").select("pos", "old", "title"))
+    full = store(plans.join(numbered.select("pos", "new"), "pos").join(named, "pos"))
+    low = F.coalesce(F.col("match_method"), F.lit("")).contains("low confidence")
+    learnt = full.select("sha256", F.col("target_title").alias("title"), F.col("match_method").alias("matched_via"), "pos")
+    people = human if human is not None else learnt.where(F.lit(False))
+    results = full.select(F.col("old").alias("file_name"), F.col("new").alias("new_name"), low.alias("low_confidence"), "size", "mtime", "sha256")
+    return Batch(
+        plans=full.select("pos", "stem", "target_title", "match_method", "old", "new"), counters=review.counters(plans), cache=state.merge_cache(cache, learnt, people),
+        index=state.merge_index(index, results), renames=full.where("new IS NOT NULL AND new <> old").select("pos", "old", "new"),
+        low_confidence=review.low_confidence_queue(plans), unmatched=plans.where("target_title IS NULL").select("pos", "stem", "match_method").orderBy("pos"),
+    )
 
 
 def link_tables(spark: SparkSession, sf: str) -> DataFrame:

@@ -70,6 +70,34 @@ def test_order_of_input_does_not_matter(spark, entries):
     assert link(spark, entries, files) == link(spark, entries.repartition(3, "title"), files[::-1])
 
 
+def test_a_run_and_the_next_one(spark, entries):
+    """Files, then the same again with one new: the known ones are skipped, and their names stay claimed."""
+    from catalink.plans.run import batch
+
+    def features(*rows):
+        full = [(i, f"{stem}.pdf", stem, f"s{stem}", 1000, 7, 10, text, None, None, None) for i, (stem, text) in enumerate(rows)]
+        return spark.createDataFrame(full, "pos long, file_name string, stem string, sha256 string, size long, mtime long, page_count int, text string, ocr_front string, ocr_back string, cover_hash array<bigint>")
+
+    none = spark.createDataFrame([], IMAGES)
+    index = spark.createDataFrame([], "file_name string, size long, mtime long, sha256 string")
+    first = batch(features(("a", words(1)), ("b", words(1)), ("c", "")), entries, none, spark.createDataFrame([], CACHE), index)
+    title = "TSR1 - Title Numberb"
+    assert [(r["old"], r["new"]) for r in first.renames.orderBy("pos").collect()] == [("a.pdf", f"{title}.pdf"), ("b.pdf", f"{title} (2).pdf")]
+    assert {r["sha256"]: r["title"] for r in first.cache.collect()} == {"sa": title, "sb": title}
+    assert sorted(r["file_name"] for r in first.index.collect()) == [f"{title} (2).pdf", f"{title}.pdf"] and first.unmatched.first()["stem"] == "c"
+    assert first.counters.first()["matched"] == 2 and first.low_confidence.count() == 0
+    known = features((title, ""), ("d", words(1))).withColumn("sha256", F.when(F.col("pos") == 0, "sa").otherwise(F.col("sha256")))
+    second = batch(known, entries, none, first.cache, first.index)
+    got = {r["stem"]: (r["target_title"], r["match_method"], r["new"]) for r in second.plans.collect()}
+    assert got[title] == (title, "Fingerprint Cache: unchanged", f"{title}.pdf") and got["d"][0] == title and got["d"][2] == f"{title} (2).pdf"
+    half = " ".join(words(1).split()[:18])
+    third = batch(known.where("pos = 0").union(features(("e", half)).withColumn("pos", F.lit(5).cast("long"))), entries, none, first.cache, first.index)
+    assert {r["stem"]: r["target_title"] for r in third.plans.collect()} == {title: title, "e": None}
+    again = batch(known.where("pos = 0"), entries, none, first.cache, first.index, mode="full")
+    row = again.plans.first()  # scanned anew, it has nothing but its name
+    assert row["target_title"] == title and "low confidence" in row["match_method"] and again.cache.count() == 0
+
+
 def test_review_decisions(spark):
     queue = spark.createDataFrame([(i, f"f{i}", "T" if i < 3 else f"T{i}") for i in range(7)], "pos long, stem string, suggested string")
     rows = [(0, "yes", None), (1, "yes", None), (2, "yes", "Mine"), (3, "no", None), (4, "keep", None), (5, "switch_to_auto", None)]

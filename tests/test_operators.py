@@ -101,6 +101,58 @@ def test_numbering_takes_the_next_free_name():
     assert len({n for _, n in got if n}) == 3
 
 
+def test_a_file_that_is_right_keeps_its_name(spark):
+    plans = [("a.pdf", "X"), ("X.pdf", "X"), ("b.pdf", "Y: 1"), ("c.pdf", None), ("d.pdf", "c"), ("e.pdf", "x"), ("f.pdf", "X (2)"), ("g.pdf", "X")]
+    want = ["X (2).pdf", "X.pdf", "Y 1.pdf", None, "c (2).pdf", "x (3).pdf", "X (2) (2).pdf", "X (4).pdf"]
+    assert [n for _, n in actions.free_names(plans, [old for old, _ in plans])] == want
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(plans)], "pos long, old string, title string")
+    assert [r["new"] for r in actions.numbered(df).orderBy("pos").collect()] == want
+
+
+def test_a_table_is_numbered_like_a_list(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ["A", "a", "A (2)", "A (3)", "B", "B (2) (2)", "B (2)", None, "C?"]
+    plans = [(f"{rng.choice(['A', 'B (2)', 'C', 'z'])} {i}.pdf" if rng.random() < 0.8 else f"A ({i + 2}).pdf", rng.choice(names)) for i in range(200)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(plans)], "pos long, old string, title string").repartition(7)
+    got = [(r["old"], r["new"]) for r in actions.numbered(df).orderBy("pos").collect()]
+    assert got == actions.free_names(plans, [old for old, _ in plans])
+    kept = [(new or old).lower() for old, new in got]
+    assert len(set(kept)) == len(kept)
+
+
+def test_names_that_stay_are_compared_as_file_names(spark):
+    first = spark.createDataFrame([(1, "Who Goes There", None), (2, "b", None)], "file_id long, stem string, target_title string")
+    second = spark.createDataFrame([(2, "b", "Who Goes There?", "m")], "file_id long, stem string, target_title string, match_method string")
+    row = constraints.refuse_stable_names(second, first).first()
+    assert row["target_title"] is None and row["match_method"].startswith("Skipped -> matches the current name")
+    skipped = spark.createDataFrame([("c",)], "stem string")
+    other = spark.createDataFrame([(2, "b", "c", "m")], second.schema)
+    assert constraints.refuse_stable_names(other, first.where("file_id = 9"), skipped).first()["target_title"] is None
+
+
+def test_an_interrupt_puts_files_back(tmp_path, monkeypatch):
+    import os
+
+    for n in ("a.pdf", "b.pdf", "c.pdf"):
+        (tmp_path / n).write_text(n)
+    real, calls = os.rename, []
+
+    def rename(old, new):
+        calls.append(new)
+        if len(calls) == 5:
+            raise KeyboardInterrupt
+        real(old, new)
+
+    monkeypatch.setattr(os, "rename", rename)
+    done = actions.apply_plan(str(tmp_path), [("a.pdf", "x.pdf"), ("b.pdf", "y.pdf"), ("c.pdf", "z.pdf")])
+    assert done.cancelled and done.renamed == [("a.pdf", "x.pdf")] and sorted(p.name for p in tmp_path.iterdir()) == ["b.pdf", "c.pdf", "x.pdf"]
+    monkeypatch.undo()
+    back, gone = actions.undo_last_run(str(tmp_path), [*done.renamed, ("q.pdf", "gone.pdf"), ("b.pdf", "b.pdf")])
+    assert gone == 1 and sorted(p.name for p in tmp_path.iterdir()) == ["a.pdf", "b.pdf", "c.pdf"] and back.renamed == [("x.pdf", "a.pdf")]
+
+
 def test_apply_and_undo_restore_names(tmp_path):
     for n in ("a.pdf", "b.pdf"):
         (tmp_path / n).write_text(n)
