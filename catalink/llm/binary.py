@@ -232,7 +232,7 @@ def tokenized(docs: DataFrame, how: Coding = Coding()) -> DataFrame:
         enc, pack = encoder(path, True, how.cached), zstandard.ZstdCompressor(level=3)
         counts = np.zeros(max(enc.size, how.end + 1), np.int64)
         for batch in batches:
-            for part in slices(batch, 1, 3000, 8 << 20):
+            for part in slices(batch, 1, 3000, 4 << 20):
                 ids, ends = enc.encode_all(part.column(1), how.end)
                 counts += np.bincount(ids, minlength=len(counts))
                 packed = [pack.compress(ids[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]

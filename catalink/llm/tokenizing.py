@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from catalink.llm.shared import held
 
 #: Entries of each of the caches, about 150 bytes each.
-CACHED = 1_000_000
+CACHED = 450_000
 #: Between any character and a lone space or line end that a visible character follows.
 _BETWEEN = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Letters whose case and normal form are single characters, then ASCII punctuation; never an apostrophe.
