@@ -14,6 +14,7 @@ from catalink.operators import actions, cascade, catalog, constraints, phrases,
 from catalink.operators.select import accept, small, top2
 from catalink.plans import sql
 from catalink.plans.run import storing
+from catalink.sources import page_images
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -339,6 +340,26 @@ def file_order(spark, sf):
     return constraints.plain_before_suffixed(table(spark, sf, "part").select(n.alias("pos"), name.alias("file_name"))).select("pos", F.col("place").cast("long").alias("place"))
 
 
+def _images(spark, sf):
+    """Items of orders as images on pages of the orders; sides follow from numbers, and some can't be decoded."""
+    side = lambda c: F.when(F.col("l_linenumber") != 7, c % 3000)
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("path"), (F.col("l_partkey") % 4).alias("page"), F.col("l_linenumber").alias("place"),
+        side(F.col("l_partkey") * 7 % 5 * 800 + F.col("l_suppkey")).alias("width"), side(F.col("l_partkey") % 3 * 1100).alias("height"))
+    return rows, table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 9 + 1).alias("page_count"))
+
+
+def page_image_choice(spark, sf):
+    """The largest image of each page."""
+    return page_images.largest(_images(spark, sf)[0])
+
+
+def readable_images(spark, sf):
+    """Images that are read on the first two and the last two pages, and their size then."""
+    images, files_ = _images(spark, sf)
+    return page_images.scaled(page_images.readable(images, files_, front=2))
+
+
 def cascade_link(spark, sf):
     """The whole cascade on documents named after parts, with passages as entries."""
     from catalink.plans.run import link_tables
@@ -349,7 +370,7 @@ def cascade_link(spark, sf):
 QUERIES = (
     clean_text, strip_codes, token_idf, overlap_scores, content_match, bonus_candidates, verbatim_title, unclaimed_match, blank_pool_match, hamming_match,
     phrase_match, shingle_candidates, fingerprint_join, duplicate_groups, duplicate_targets, refused_plans, cascade_labels, text_flags, sibling_flags, display_name, ambiguous_titles, legacy_token,
-    substring_names, nonpdf_longest, claimed_setops, incremental_partition, cache_merge, index_merge, newest_k, title_search, suffix_numbering, undo_plan, review_decisions, run_counters, already_correct, file_order, cascade_link,
+    substring_names, nonpdf_longest, claimed_setops, incremental_partition, cache_merge, index_merge, newest_k, title_search, suffix_numbering, undo_plan, review_decisions, run_counters, already_correct, file_order, page_image_choice, readable_images, cascade_link,
 )
 
 

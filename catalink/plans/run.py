@@ -51,20 +51,23 @@ class Batch:
 
 def batch(
     files: DataFrame, entries: DataFrame, images: DataFrame, cache: DataFrame, index: DataFrame, mode: str = "incremental",
-    human: DataFrame | None = None, limits: cascade.Limits = cascade.Limits(),
+    rebuild_cache: bool = False, human: DataFrame | None = None, limits: cascade.Limits = cascade.Limits(),
 ) -> Batch:
     """A whole run. ``files``: features with file_name, size and mtime; ``index``: file_name, size, mtime, sha256.
 
     ``incremental``: files whose name, size and time the index has, and whose hash the cache names, are not scanned; their
-    names are claimed and stay. ``full``: every file is scanned, and the cache begins anew (its old version stays where it
-    was saved). ``human``: rows of the cache that people decided (sha256, title, matched_via, pos), which go over all others.
+    names are claimed and stay. ``full``: every file is scanned; with ``rebuild_cache`` the cache begins anew too
+    (``state_files.reset`` keeps the saved one). ``human``: rows of the cache that people decided (sha256, title, matched_via, pos), which go over all others.
     """
     if mode not in ("incremental", "full"):
         raise ValueError("a run is incremental or full")
     store = storing(files.sparkSession)
-    if mode == "full":
+    if rebuild_cache and mode != "full":
+        raise ValueError("only a full run rebuilds the cache")
+    if rebuild_cache:
         cache = cache.where(F.lit(False))
-    parted = store(state.incremental_partition(files.drop("title"), index, cache))
+    unchanged = index if mode == "incremental" else index.where(F.lit(False))
+    parted = store(state.incremental_partition(files.drop("title"), unchanged, cache))
     skip, scan = parted.where("skip"), parted.where("not skip").drop("skip", "title")
     skipped = skip.select("pos", "stem", F.col("title").alias("target_title"), F.lit("Fingerprint Cache: unchanged").alias("match_method"))
     plans = store(run(scan, entries, images, cache, limits, skip.select("stem")).unionByName(skipped))

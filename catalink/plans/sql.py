@@ -206,5 +206,13 @@ def oracles() -> dict[str, str]:
         "file_order": """WITH f AS (SELECT p_partkey AS pos, p_partkey // 4 AS g, p_partkey % 4 AS k FROM part)
             SELECT pos, row_number() OVER (ORDER BY k = 1 AND EXISTS (SELECT 1 FROM f p WHERE p.g = f.g AND p.k = 0), pos) - 1 AS place FROM f""",
     }
+    side = "CASE WHEN l_linenumber <> 7 THEN ({}) % 3000 END".format
+    images = f"""images AS (SELECT l_orderkey AS path, l_partkey % 4 AS page, l_linenumber AS place,
+        {side('l_partkey * 7 % 5 * 800 + l_suppkey')} AS width, {side('l_partkey % 3 * 1100')} AS height FROM lineitem)"""
+    found["page_image_choice"] = f"""WITH {images} SELECT path, page, place, width, height FROM images WHERE width > 0 AND height > 0
+        QUALIFY row_number() OVER (PARTITION BY path, page ORDER BY width * height DESC, place) = 1"""
+    read = "CASE WHEN greatest(width, height) <= 2200 THEN {0} ELSE greatest(1, CAST(floor({0} * (2200::DOUBLE / greatest(width, height))) AS BIGINT)) END".format
+    found["readable_images"] = f"""WITH {images} SELECT images.*, page < 2 AS is_front, page >= o_custkey % 9 - 1 AS is_back, {read('width')} AS read_width, {read('height')} AS read_height
+        FROM images JOIN orders ON path = o_orderkey WHERE width >= 20 AND height >= 20 AND page <= o_custkey % 9 AND (page < 2 OR page >= o_custkey % 9 - 1)"""
     found["undo_plan"] = f"SELECT pos, new AS old, old AS new FROM ({found['suffix_numbering']}) WHERE new IS NOT NULL AND old <> new AND pos % 3 <> 0"
     return found

@@ -37,6 +37,24 @@ def save(df: DataFrame, path: str) -> str:
     return target
 
 
+def reset(spark: SparkSession, path: str, schema: str) -> str | None:
+    """Save an empty version, so that the next run begins anew; a copy of the newest one is written first, and its path returned.
+
+    Without rows to keep nothing is written. If the copy fails, the error leaves the saved state as it is."""
+    old = load(spark, path, schema)
+    if old.isEmpty():
+        return None
+    backup = f"{path.rstrip('/')}.bak"
+    old.write.mode("overwrite").json(backup)
+    save(spark.createDataFrame([], schema), path)
+    return backup
+
+
+def load_renames(spark: SparkSession, path: str) -> DataFrame:
+    """The newest manifest's renames; rows without a directory or one of the names, and a damaged manifest, undo nothing."""
+    return load(spark, path, RENAMES).where("output_directory <> '' AND old <> '' AND new <> ''")
+
+
 def save_renames(df: DataFrame, path: str) -> str | None:
     """The manifest of a run; nothing is written for a run without renames."""
     return None if df.isEmpty() else save(df, path)

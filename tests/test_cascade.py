@@ -93,7 +93,12 @@ def test_a_run_and_the_next_one(spark, entries):
     half = " ".join(words(1).split()[:18])
     third = batch(known.where("pos = 0").union(features(("e", half)).withColumn("pos", F.lit(5).cast("long"))), entries, none, first.cache, first.index)
     assert {r["stem"]: r["target_title"] for r in third.plans.collect()} == {title: title, "e": None}
-    again = batch(known.where("pos = 0"), entries, none, first.cache, first.index, mode="full")
+    kept = batch(known.where("pos = 0"), entries, none, first.cache, first.index, mode="full")
+    row = kept.plans.first()  # scanned, but its hash is known
+    assert row["target_title"] == title and row["match_method"] != "Fingerprint Cache: unchanged" and {r["sha256"] for r in kept.cache.collect()} == {"sa", "sb"}
+    with pytest.raises(ValueError):
+        batch(known, entries, none, first.cache, first.index, rebuild_cache=True)
+    again = batch(known.where("pos = 0"), entries, none, first.cache, first.index, mode="full", rebuild_cache=True)
     row = again.plans.first()  # scanned anew, it has nothing but its name
     assert row["target_title"] == title and "low confidence" in row["match_method"] and again.cache.count() == 0
 
