@@ -61,6 +61,26 @@ def free_names(plans: Iterable[tuple[str, str | None]], existing: Iterable[str])
     return list(zip((old for old, _ in plans), _fold(plans, {n.lower() for n in existing if n.lower() not in moving})))
 
 
+def claimed(plans: DataFrame, existing: DataFrame) -> DataFrame:
+    """``pos, old, new, outcome`` of files that are no documents (pos, old, ext, title; null title: none was found).
+
+    The first file by ``pos`` claims a title, whatever comes of it. It is ``renamed``, ``kept`` if its name is right, or
+    refused as ``taken``: no file is written over and no number is given. ``existing`` (file_name) are the directory's
+    names in any case; a name counts as taken even if its file is about to move. Others are ``claimed`` or ``unmatched``.
+    """
+    rows = plans.select("pos", "old", "title", safe_file_name("title", F.col("ext")).alias("wanted"))
+    first = rows.where("title IS NOT NULL").groupBy("title").agg(F.min("pos").alias("pos")).withColumn("_won", F.lit(True))
+    won = rows.join(first, ["title", "pos"], "left").withColumn("_key", F.when(F.col("_won") & (F.col("wanted") != F.col("old")), F.lower("wanted")))
+    names = won.where("_key IS NOT NULL").groupBy("_key").agg(F.min("pos").alias("_first"))
+    free = names.join(existing.select(F.lower("file_name").alias("_key")), "_key", "left_anti")
+    outcome = (
+        F.when(F.col("title").isNull(), "unmatched").when(F.col("_won").isNull(), "claimed").when(F.col("_key").isNull(), "kept")
+        .when(F.col("_first") == F.col("pos"), "renamed").otherwise("taken")
+    )
+    told = won.join(free, "_key", "left").withColumn("outcome", outcome)
+    return told.select("pos", "old", F.when(F.col("outcome") == "renamed", F.col("wanted")).alias("new"), "outcome")
+
+
 def numbered(plans: DataFrame) -> DataFrame:
     """``pos, old, new`` of plans (pos, old, title; null title: the file stays, and takes its name), as ``free_names`` gives them.
 

@@ -244,6 +244,16 @@ def nonpdf_longest(spark, sf):
     return catalog.software_choice(_names(spark, sf), _parts(spark, sf))
 
 
+def nonpdf_claims(spark, sf):
+    """Names as files, every sixth named rightly, with ten titles for the entries; one of the titles' names exists."""
+    title = F.concat(F.lit("Item: "), F.col("pos") % 10)
+    rows = _names(spark, sf).select("name_id").join(nonpdf_longest(spark, sf), "name_id", "left").select(F.col("name_id").alias("pos"), title.alias("title"), F.lit(".iso").alias("ext"))
+    right = (F.col("pos") % 6 == 0) & F.col("title").isNotNull()
+    rows = rows.withColumn("old", F.when(right, F.concat(F.replace("title", F.lit(":")), "ext")).otherwise(F.concat(F.lit("f"), "pos", "ext")))
+    rows = storing(spark)(rows)  # read several times
+    return actions.claimed(rows, rows.select(F.col("old").alias("file_name")).union(spark.createDataFrame([("ITEM 3.iso",)], "file_name string")))
+
+
 def claimed_setops(spark, sf):
     """Targets of content matches and item numbers of even documents are claimed; the rest is not."""
     claimed = content_match(spark, sf).select("item_id").union(table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"))).distinct()
@@ -370,7 +380,7 @@ def cascade_link(spark, sf):
 QUERIES = (
     clean_text, strip_codes, token_idf, overlap_scores, content_match, bonus_candidates, verbatim_title, unclaimed_match, blank_pool_match, hamming_match,
     phrase_match, shingle_candidates, fingerprint_join, duplicate_groups, duplicate_targets, refused_plans, cascade_labels, text_flags, sibling_flags, display_name, ambiguous_titles, legacy_token,
-    substring_names, nonpdf_longest, claimed_setops, incremental_partition, cache_merge, index_merge, newest_k, title_search, suffix_numbering, undo_plan, review_decisions, run_counters, already_correct, file_order, page_image_choice, readable_images, cascade_link,
+    substring_names, nonpdf_longest, nonpdf_claims, claimed_setops, incremental_partition, cache_merge, index_merge, newest_k, title_search, suffix_numbering, undo_plan, review_decisions, run_counters, already_correct, file_order, page_image_choice, readable_images, cascade_link,
 )
 
 

@@ -206,6 +206,13 @@ def oracles() -> dict[str, str]:
         "file_order": """WITH f AS (SELECT p_partkey AS pos, p_partkey // 4 AS g, p_partkey % 4 AS k FROM part)
             SELECT pos, row_number() OVER (ORDER BY k = 1 AND EXISTS (SELECT 1 FROM f p WHERE p.g = f.g AND p.k = 0), pos) - 1 AS place FROM f""",
     }
+    found["nonpdf_claims"] = f"""WITH chosen AS ({found['nonpdf_longest']}), m AS (SELECT min(p_partkey) AS pos FROM part GROUP BY p_name),
+        f AS (SELECT m.pos, 'Item: ' || c.pos % 10 AS title, 'Item ' || c.pos % 10 || '.iso' AS wanted FROM m LEFT JOIN chosen c ON c.name_id = m.pos),
+        g AS (SELECT *, CASE WHEN pos % 6 = 0 AND title IS NOT NULL THEN wanted ELSE 'f' || pos || '.iso' END AS old,
+          row_number() OVER (PARTITION BY title ORDER BY pos) = 1 AS won FROM f),
+        h AS (SELECT *, CASE WHEN title IS NULL THEN 'unmatched' WHEN NOT won THEN 'claimed' WHEN wanted = old THEN 'kept'
+          WHEN wanted = 'Item 3.iso' OR wanted IN (SELECT old FROM g) THEN 'taken' ELSE 'renamed' END AS outcome FROM g)
+        SELECT pos, old, CASE WHEN outcome = 'renamed' THEN wanted END AS new, outcome FROM h"""
     side = "CASE WHEN l_linenumber <> 7 THEN ({}) % 3000 END".format
     images = f"""images AS (SELECT l_orderkey AS path, l_partkey % 4 AS page, l_linenumber AS place,
         {side('l_partkey * 7 % 5 * 800 + l_suppkey')} AS width, {side('l_partkey % 3 * 1100')} AS height FROM lineitem)"""

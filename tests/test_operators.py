@@ -171,3 +171,14 @@ def test_incremental_partition(spark, case):
     cache = spark.createDataFrame([("h", "T", "x")], "sha256 string, title string, matched_via string")
     files = spark.createDataFrame([(name, size, mtime)], "file_name string, size long, mtime long")
     assert state.incremental_partition(files, index, cache).first()["skip"] is skip
+
+
+def test_claims_of_other_files(spark):
+    rows = [(0, "x.iso", ".iso", "A: b"), (1, "y.iso", ".iso", "A: b"), (2, "C.iso", ".iso", "C"), (3, "z.iso", ".iso", "D"), (4, "w.iso", ".iso", "a b"), (5, "v.iso", ".iso", None), (6, "u.bin", ".bin", "E"), (7, "t.iso", ".iso", "X")]
+    plans = spark.createDataFrame(rows, "pos long, old string, ext string, title string")
+    existing = spark.createDataFrame([(r[1],) for r in rows] + [("d.ISO",)], "file_name string")
+    got = {r["pos"]: (r["new"], r["outcome"]) for r in actions.claimed(plans, existing).collect()}
+    assert got == {
+        0: ("A b.iso", "renamed"), 1: (None, "claimed"), 2: (None, "kept"), 3: (None, "taken"), 4: (None, "taken"), 5: (None, "unmatched"), 6: ("E.bin", "renamed"), 7: (None, "taken"),
+    }
+    assert actions.claimed(plans.limit(0), existing).count() == 0
