@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Mapping
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "bsd": (
         "Licensed under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the"
+        " documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this"
+        " software without specific prior written permission.",
         'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT'
         " LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ),
@@ -58,16 +64,30 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         " distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to"
         " the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF'
+        " MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY"
+        " CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE"
+        " SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled"
+        " binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages"
+        " arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute"
+        " it freely, subject to the following restrictions:",
+    ),
 }
 THRESHOLD = 0.8
 _GAPS = r"[^\p{L}\p{N}]+"
 
 
 def _pairs(text: str) -> list[str]:
-    words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -75,20 +95,25 @@ def _pairs(text: str) -> list[str]:
 _COMMON = frozenset("a an and any are as at be by for from in into is it mit may no not of on only or such that the this to under use used with without you 0 1 2 3 4 5".split())
 
 
-@cache
-def templates() -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """(licence, its different word pairs) of each template text."""
-    return tuple((name, tuple(_pairs(t))) for name, texts in TEMPLATES.items() for t in texts)
+Templates = tuple[tuple[str, tuple[str, ...]], ...]
+
+
+def templates(texts: Mapping[str, Iterable[str]] = TEMPLATES) -> Templates:
+    """(licence, its different word pairs) of each template text; a text has two words at least."""
+    out = tuple((name, tuple(_pairs(t))) for name, each in texts.items() for t in each)
+    if not out or not all(pairs for _, pairs in out):
+        raise ValueError("a template needs two words")
+    return out
 
 
 @cache
-def needed_words(threshold: float) -> tuple[str, ...]:
+def needed_words(threshold: float, known: Templates) -> tuple[str, ...]:
     """A few words of which every unit that reaches the threshold has one.
 
     Dice of at least t needs t / (2 - t) of a template's pairs. Words are taken, uncommon ones that
     touch many pairs first, until each template has fewer pairs than that without any of them.
     """
-    left = [(set(pairs), math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9)) for _, pairs in templates()]
+    left = [(set(pairs), math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9)) for _, pairs in known]
     out: list[str] = []
     while open_ := [(pairs, most) for pairs, most in left if len(pairs) >= most]:
         touched = Counter(w for pairs, most in open_ for p in pairs for w in set(p.split()) for _ in range(1000 // most))
@@ -107,20 +132,23 @@ def _units(text: str) -> Column:
     return F.concat(numbered("line", F.split(text, r"\n")), wide, whole)
 
 
-def licence_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def licence_matches(docs: DataFrame, threshold: float = THRESHOLD, texts: Mapping[str, Iterable[str]] = TEMPLATES) -> DataFrame:
     """``doc_id, unit, position, licence, dice``: units that reach the threshold with a template, and the best one.
 
     ``docs`` needs doc_id and text; other columns are ignored. Null and empty texts have no match. Of
-    templates of equal Dice the first by name counts. Equal rows give equal matches each.
+    templates of equal Dice the first by name counts. Equal rows give equal matches each. An empty table gives none.
+    ``texts``: licences and their template texts, of any length; they are put into the plan, so hundreds of them, not millions.
     """
+    prepared = templates(texts)
+    words_needed = needed_words(threshold, prepared)
     low = threshold / (2 - threshold)
-    known = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, pairs)).alias("pairs")) for name, pairs in templates()])
-    needed = F.array(*map(F.lit, needed_words(threshold)))
+    known = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, pairs)).alias("pairs")) for name, pairs in prepared])
+    needed = F.array(*map(F.lit, words_needed))
     words = lambda body: F.array_remove(F.split(F.regexp_replace(F.lower(body), _GAPS, " "), " "), "")
     # kept inside one expression: a filter above a projection would have the words made twice
     worded = F.transform(_units("text"), lambda u: F.struct(u["unit"].alias("unit"), u["position"].alias("position"), words(u["body"]).alias("words")))
     # a unit has no fewer pairs than different words, less one
-    most = max(len(pairs) for _, pairs in templates()) / low + 1
+    most = max(len(pairs) for _, pairs in prepared) / low + 1
     kept = F.filter(worded, lambda u: F.arrays_overlap(u["words"], needed) & (F.size(F.array_distinct(u["words"])) <= most))
     second = F.slice("u.words", F.lit(2), F.greatest(F.size("u.words") - 1, F.lit(0)))
     pairs = F.array_distinct(F.array_compact(F.zip_with("u.words", second, lambda a, b: F.concat(a, F.lit(" "), b))))
@@ -129,7 +157,7 @@ def licence_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = F.transform(F.filter(known, fits), lambda t: F.struct((-dice(t)).alias("less"), t["licence"].alias("licence")))
     enough = F.filter(F.array(F.array_min(found)), lambda b: b["less"] <= -threshold)
     return (
-        docs.where(F.lower("text").rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(needed_words(threshold)) + r")(?![\p{L}\p{N}])"))
+        docs.where(F.lower("text").rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(words_needed) + r")(?![\p{L}\p{N}])"))
         .select("doc_id", F.explode(kept).alias("u")).select("doc_id", "u.unit", "u.position", pairs.alias("pairs"))
         .select("doc_id", "unit", "position", F.explode(enough).alias("best"))
         .select("doc_id", "unit", "position", F.col("best.licence").alias("licence"), F.round(-F.col("best.less"), 6).alias("dice"))

@@ -210,3 +210,14 @@ def test_licences_against_brute_force(spark, odd, none):
                 want.add((d, kind, i, best[1], round(-best[0], 6)))
     assert {tuple(r) for r in licences.licence_matches(df).collect()} == want and len(want) >= 6
     assert licences.licence_matches(odd).count() == 0 and licences.licence_matches(none).count() == 0
+
+
+def test_licences_of_own_templates(spark):
+    """A text of several paragraphs among them; no pairs, no template."""
+    own = {"house": ["Nur für den Dienstgebrauch.", "First the terms of the house.\n\nThen what they allow, to whom and when.\n\nNothing else."]}
+    texts = ["nur FÜR den Dienstgebrauch", own["house"][1], own["house"][1].replace("Nothing", "Little"), "Released under the MIT License.", None]
+    got = licences.licence_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), texts=own).collect()
+    assert {(r["doc_id"], r["unit"], r["licence"]) for r in got} == {(0, "line", "house"), (1, "text", "house"), (2, "text", "house")}
+    for bad in ({}, {"x": ["word"]}):
+        with pytest.raises(ValueError):
+            licences.licence_matches(spark.createDataFrame([], "doc_id long, text string"), texts=bad)
