@@ -1,3 +1,4 @@
+import ast
 import os
 
 import duckdb
@@ -34,3 +35,28 @@ def test_entry_has_rows(spark):
 
 def test_names_are_known():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_helper_of_the_queries_replaces_another():
+    with open(registry.__file__, encoding="utf-8") as f:
+        names = [n.name for n in ast.parse(f.read()).body if isinstance(n, ast.FunctionDef)]
+    assert len(names) == len(set(names))
+
+
+def on_parts(spark, folder, name, rows):
+    """What a query gives on parts of (number, name, brand, size), which its SQL must give, too."""
+    parts = spark.createDataFrame([(*r, "type") for r in rows], "p_partkey long, p_name string, p_brand string, p_size int, p_type string")
+    parts.write.parquet(f"{folder}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    got = registry.queries()[name](spark, str(folder)).toPandas()
+    assert shown(got) == shown(con.execute(registry.oracle_sql()[name]).df())
+    return dict(got.itertuples(index=False, name=None))
+
+
+def test_display_name_on_few_parts(spark, tmp_path):
+    rows = [(1, "red", "art", 1), (2, "red", "art", 3), (3, "red", "art", 3), (7, "red", "x", 0), (11, "TSR2001 red", "", 4), (14, "blue", "", 0), (15, "tsrxxxx blue", "deep", 2)]
+    assert on_parts(spark, tmp_path, "display_name", rows) == {
+        1: "TSR2001 red art", 2: "TSR2001 red art", 3: "TSR2003 red art",  # the core title's: of the same code, or the first
+        7: "TSRXXXX - red", 11: "TSR2001 red art", 14: "TSR2002 tsrxxxx blue deep", 15: "TSR2002 tsrxxxx blue deep",
+    }
