@@ -60,3 +60,9 @@ def test_display_name_on_few_parts(spark, tmp_path):
         1: "TSR2001 red art", 2: "TSR2001 red art", 3: "TSR2003 red art",  # the core title's: of the same code, or the first
         7: "TSRXXXX - red", 11: "TSR2001 red art", 14: "TSR2002 tsrxxxx blue deep", 15: "TSR2002 tsrxxxx blue deep",
     }
+
+
+def test_substring_names_on_few_parts(spark, tmp_path):
+    rows = [(1, "deep rose", "y", 0), (2, "red", "art", 1), (3, "tsr2001 red art book", "x", 1), (4, "lone", "", 0), (5, "rose", "art", 0), (9, "rose", "z", 0)]
+    # names of under four letters are not looked for; 3 has the image of 2 in its name, and 5 lies in that of 1
+    assert on_parts(spark, tmp_path, "substring_names", rows) == {1: 1, 3: 2, 4: 4, 5: 1}
