@@ -74,6 +74,13 @@ def test_largest_image_and_cover(spark):
     assert page_images.largest(images.limit(0)).count() == 0
 
 
+def test_rows_of_one_place_and_area_are_chosen_whatever_their_order(spark):
+    rows = [("a", 0, 5, 578, 1100), ("a", 0, 5, 289, 2200), ("a", 0, 6, 578, 1100)]
+    for given in (rows, rows[::-1]):
+        got = page_images.largest(spark.createDataFrame(given, IMAGE).coalesce(1)).collect()
+        assert [(r["place"], r["width"], r["height"]) for r in got] == [(5, 578, 1100)]
+
+
 def test_images_that_are_read(spark):
     rows = [("a", p, 0, 100, 20) for p in range(12)] + [("a", 0, 1, 19, 500), ("a", 0, 2, None, 50), ("b", 0, 0, 50, 50), ("c", 0, 0, 50, 50)]
     docs = spark.createDataFrame([("a", 12), ("b", 1)], "path string, page_count int")
