@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalink.functions.text import clean_text, hamming, is_blank_form, is_hub_book, name_tokens, significant_words
+from catalink.functions.text import clean_text, hamming, has_significant_words, is_blank_form, is_hub_book, name_tokens
 from catalink.operators import catalog, constraints, phrases, scoring
 from catalink.operators.select import accept, small, top2
 
@@ -34,9 +34,9 @@ class Limits:
 
 
 def _files(files: DataFrame) -> DataFrame:
-    """``file_id`` (position), clean name, words and density of the features of files."""
+    """``file_id`` (position), clean name and density of the features of files."""
     return files.withColumns({
-        "file_id": F.col("pos"), "clean_name": clean_text("stem"), "words": significant_words("text"),
+        "file_id": F.col("pos"), "clean_name": clean_text("stem"),
         "bytes_per_page": F.when(F.col("page_count") > 0, F.col("size") / F.col("page_count")).otherwise(F.lit(0.0)),
     })
 
@@ -51,20 +51,22 @@ def _label(name: str):
     return F.format_string(name + " (score %.2f, next %.2f)", "score", "runner_up")
 
 
-def excluded(pairs: DataFrame, files: DataFrame, entries: DataFrame, hubs: bool = True, own_name: bool = True) -> DataFrame:
-    """Pairs without forms, placeholders with siblings and hub books, but for files already named so."""
+def _out(hubs: bool = True):
+    """Forms, placeholders with siblings, and hub books."""
     flag = is_blank_form("clean_title") | F.col("has_specific_sibling")
-    flag = flag | is_hub_book("clean_title") if hubs else flag
-    marked = pairs.join(small(entries.select(F.col("pos").alias("item_id"), "clean_title", flag.alias("_out"))), "item_id").join(files.select("file_id", "clean_name"), "file_id")
-    keep = ~F.col("_out") | (F.col("clean_title") == F.col("clean_name")) if own_name else ~F.col("_out")
-    return marked.where(keep).select(*pairs.columns)
+    return flag | is_hub_book("clean_title") if hubs else flag
+
+
+def excluded(pairs: DataFrame, files: DataFrame, entries: DataFrame, hubs: bool = True) -> DataFrame:
+    """Pairs without forms, placeholders with siblings and hub books, but for files already named so."""
+    marked = pairs.join(small(entries.select(F.col("pos").alias("item_id"), "clean_title", _out(hubs).alias("_out"))), "item_id").join(files.select("file_id", "clean_name"), "file_id")
+    return marked.where(~F.col("_out") | (F.col("clean_title") == F.col("clean_name"))).select(*pairs.columns)
 
 
 def best_content(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``file_id, item_id, score, runner_up`` of files that one entry's notes fit far better than all others."""
     e = _entries(entries.where("is_document"))
-    pairs = excluded(scoring.scores(files, e, weights), files, entries)
-    return accept(top2(pairs, "file_id", "item_id", "score"), "score", *limits.content)
+    return accept(top2(scoring.scores(files, e, weights, hidden=_out()), "file_id", "item_id", "score"), "score", *limits.content)
 
 
 def best_blank(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -75,9 +77,8 @@ def best_blank(files: DataFrame, entries: DataFrame, weights: DataFrame, limits:
 
 def best_unclaimed(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The best of the unclaimed entries that beats all the others; files need words."""
-    e = _entries(entries.where("is_document"))
-    pairs = excluded(scoring.scores(files.where(F.size("words") > 0), e, weights), files, entries, own_name=False)
-    return accept(top2(pairs, "file_id", "item_id", "score"), "score", limits.unclaimed, 0, strict=True)
+    e = _entries(entries.where("is_document").where(~_out()))
+    return accept(top2(scoring.scores(files.where(has_significant_words("text")), e, weights), "file_id", "item_id", "score"), "score", limits.unclaimed, 0, strict=True)
 
 
 def content(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -119,7 +120,7 @@ def back_covers(files: DataFrame, entries: DataFrame, limits: Limits = Limits())
 
 def front_pages(files: DataFrame, entries: DataFrame, weights: DataFrame, limits: Limits = Limits()) -> DataFrame:
     text = clean_text(F.concat_ws(" ", "text", "ocr_front"))
-    again = files.where(F.coalesce("ocr_front", F.lit("")) != "").withColumn("text", text).withColumn("words", significant_words("text"))
+    again = files.where(F.coalesce("ocr_front", F.lit("")) != "").withColumn("text", text)
     return content(again, entries, weights, limits).withColumn("match_method", F.regexp_replace("match_method", "^Content Match", "Front Page Match"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def collected(df: DataFrame) -> pa.Table | None:
+    """The rows of a table that is small enough to be broadcast, else none."""
+    rows = df.limit(BROADCAST_ROWS + 1).toArrow()
+    return rows if rows.num_rows <= BROADCAST_ROWS else None
+
+
 def top2(scored: DataFrame, key: str, item: str, score: str, default: float = 0.0, smallest: bool = False) -> DataFrame:
     """``key, item, score, runner_up``: each key's best item and the second's score.
 
