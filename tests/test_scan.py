@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalink.functions.text import SPACES, clean_text, has_verbatim_title, significant_words
-from catalink.operators import scan, scoring, select
+from catalink.operators import phrases, scan, scoring, select
 
 LETTERS = "abñé"
 
@@ -82,3 +82,16 @@ def test_cleaning_treats_every_code_point_as_its_classes_say(spark):
     plain = F.trim(F.regexp_replace(t, rf"[{SPACES}]+", " "))
     df = spark.createDataFrame([(t,) for t in [*texts, "  a \t\n b　　c n d  ", "", " "]], "t string")
     assert df.where(~clean_text("t").eqNullSafe(plain)).count() == 0
+
+
+def test_runs_and_phrases_of_a_pass_equal_those_of_joins(tables, monkeypatch):
+    f, e, _ = tables
+    quoted = e.select((F.col("item_id") + 1000).alias("file_id"), F.concat(F.lit("x  y "), F.substring("clean_notes", 1, 150), F.lit(" z")).alias("text"))
+    f = f.select("file_id", "text").union(quoted).union(quoted.select(F.lit(-1).cast("long"), F.lit("only three words"))).distinct()
+    plan = phrases.phrase_scores(f, e, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    shared, scored = rows(phrases.shingle_candidates(f, e)), rows(phrases.phrase_scores(f, e, 20))
+    assert len(shared) >= 30 and any(0 < s < 1 for _, _, s in scored)
+    assert rows(phrases.shingle_candidates(f, e.where("item_id < 0"))) == []
+    monkeypatch.setattr(select, "BROADCAST_ROWS", 2)
+    assert shared == rows(phrases.shingle_candidates(f, e)) and scored == rows(phrases.phrase_scores(f, e, 20))
