@@ -95,3 +95,20 @@ def test_runs_and_phrases_of_a_pass_equal_those_of_joins(tables, monkeypatch):
     assert rows(phrases.shingle_candidates(f, e.where("item_id < 0"))) == []
     monkeypatch.setattr(select, "BROADCAST_ROWS", 2)
     assert shared == rows(phrases.shingle_candidates(f, e)) and scored == rows(phrases.phrase_scores(f, e, 20))
+
+
+def test_nearest_hashes_equal_those_of_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    near = [rng.getrandbits(64) for _ in range(6)]
+    hashes = [[((near[rng.randrange(6)] ^ (1 << rng.randrange(64))) & (2**64 - 1)) - 2**63, rng.randrange(3) - 1] for _ in range(150)]
+    v = spark.createDataFrame(list(enumerate(hashes)), "item_id long, b array<bigint>").repartition(5)
+    asked = v.where("item_id % 7 = 0").select(F.col("item_id").alias("file_id"), F.col("b").alias("a"))
+    found = select.nearest2(asked, v, 999)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = rows(found)
+    monkeypatch.setattr(scan, "CELLS", 100)
+    assert got == rows(select.nearest2(asked, v, 999))
+    alone = v.where("item_id = 7")
+    assert rows(select.nearest2(asked, alone, 999).where("file_id = 7")) == [] and rows(select.nearest2(asked.where("file_id = 7"), v.where("item_id IN (7, 8)"), 999))[0][3] == 999
+    monkeypatch.setattr(select, "BROADCAST_ROWS", 2)
+    assert len(got) == 22 and got == rows(select.nearest2(asked, v, 999))
