@@ -59,22 +59,21 @@ def with_siblings(entries: DataFrame) -> DataFrame:
 def with_display_name(entries: DataFrame, images: DataFrame) -> DataFrame:
     """Add ``display_name``, found once an entry: the image of its application's name, the one of its core title (of
     several, the first with the same first word), the first whose name has the core title, or the title itself."""
-    keyed = entries
     first = lambda what: F.min_by("original_name", F.col("img_pos")).alias(what)
-    img = images.select(F.col("pos").alias("img_pos"), "original_name", "clean_name", "core_name")
-    by_app = img.groupBy("clean_name").agg(first("_app")).withColumnRenamed("clean_name", "application_clean")
+    # names repeat, so they are made different before anything is sorted or compared
+    img = images.groupBy("original_name", "clean_name", "core_name").agg(F.min("pos").alias("img_pos"))
+    by_app = img.where("clean_name <> ''").groupBy("clean_name").agg(first("_app")).withColumnRenamed("clean_name", "application_clean")
     lead = lambda c: F.element_at(F.split(c, " "), 1)
     by_core = img.groupBy("core_name").agg(first("_core")).withColumnRenamed("core_name", "core_title")
     by_code = img.withColumn("_lead", lead("clean_name")).groupBy("core_name", "_lead").agg(first("_code")).withColumnRenamed("core_name", "core_title")
-    found = containing(entries.where("core_title <> ''").select(F.col("core_title").alias("s")), img.select(F.col("clean_name").alias("l")))
+    titles = entries.select("title", "clean_title", "core_title").distinct()
+    found = containing(titles.where("core_title <> ''").select(F.col("core_title").alias("s")), img.select(F.col("clean_name").alias("l")))
     named = img.groupBy("clean_name").agg(F.min(F.struct("img_pos", "original_name")).alias("_img"))
     inside = found.join(named, F.col("l") == F.col("clean_name")).groupBy(F.col("s").alias("core_title")).agg(F.min("_img")["original_name"].alias("_inside"))
-    out = (
-        keyed.join(by_app, "application_clean", "left").withColumn("_lead", lead("clean_title")).join(by_code, ["core_title", "_lead"], "left")
-        .join(by_core, "core_title", "left").join(inside, "core_title", "left")
-    )
-    app = F.when(F.col("application_clean") != "", F.col("_app"))
-    name = F.coalesce(app, F.when(F.col("_core").isNotNull(), F.coalesce("_code", "_core")), F.col("_inside"), F.replace("title", F.lit(":"), F.lit(" -")))
+    of_title = titles.withColumn("_lead", lead("clean_title")).join(by_code, ["core_title", "_lead"], "left").join(by_core, "core_title", "left").join(inside, "core_title", "left")
+    of_title = of_title.select("title", "clean_title", "core_title", F.coalesce(F.when(F.col("_core").isNotNull(), F.coalesce("_code", "_core")), F.col("_inside")).alias("_image"))
+    out = entries.join(small(by_app), "application_clean", "left").join(small(of_title), ["title", "clean_title", "core_title"], "left")
+    name = F.coalesce("_app", "_image", F.replace("title", F.lit(":"), F.lit(" -")))
     return out.withColumn("display_name", name).select(*entries.columns, "display_name")
 
 
@@ -83,9 +82,12 @@ def ambiguous_titles(entries: DataFrame) -> DataFrame:
 
     A name of two core titles keeps the note of the later one in catalog order.
     """
-    groups = entries.where("is_document").groupBy("core_title").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("display_name")).alias("names"), F.min("pos").alias("first"))
-    each = groups.where((F.col("n") >= 2) & (F.size("names") >= 2)).select("first", "names", F.explode("names").alias("display_name"))
-    one = each.groupBy("display_name").agg(F.max_by("names", "first").alias("names"))
+    # names that repeat are made one by hash: sets would be sorted, with every row
+    different = entries.where("is_document").groupBy("core_title", "display_name").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    groups = different.groupBy("core_title").agg(F.sum("n").alias("n"), F.sort_array(F.collect_set("display_name")).alias("names"), F.min("first").alias("first"))
+    groups = groups.where((F.col("n") >= 2) & (F.size("names") >= 2)).select("first", "names")
+    last = groups.select("first", F.explode("names").alias("display_name")).groupBy("display_name").agg(F.max("first").alias("first"))
+    one = last.join(groups, "first")
     return one.select("display_name", F.size("names").alias("n_names"), F.array_join(F.array_except("names", F.array("display_name")), "; ").alias("others"))
 
 

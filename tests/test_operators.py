@@ -182,3 +182,16 @@ def test_claims_of_other_files(spark):
         0: ("A b.iso", "renamed"), 1: (None, "claimed"), 2: (None, "kept"), 3: (None, "taken"), 4: (None, "taken"), 5: (None, "unmatched"), 6: ("E.bin", "renamed"), 7: (None, "taken"),
     }
     assert actions.claimed(plans.limit(0), existing).count() == 0
+
+
+def test_names_are_made_different_before_they_are_compared_or_sorted(spark):
+    import re
+
+    e = entry(spark, ("TSR1: Same", "", "", "C:/p/x.pdf"), ("TSR1: Same", "", "", ""), ("TSR2: Same", "", "", ""), ("TSR2: Same", "", "", ""), ("TSR3: Deep Sea", "", "", ""))
+    images = spark.createDataFrame([(i, n, n.lower(), n.lower()) for i, n in [(5, "Same"), (3, "Same"), (4, "The Deep Sea"), (9, "")]], "pos long, original_name string, clean_name string, core_name string")
+    named = catalog.with_display_name(e, images)
+    assert re.search(r"Aggregate \[original_name#\d+, clean_name#\d+, core_name#\d+\]", named._jdf.queryExecution().optimizedPlan().toString())
+    assert {r["pos"]: r["display_name"] for r in named.collect()} == {0: "Same", 1: "Same", 2: "Same", 3: "Same", 4: "The Deep Sea"}
+    ambiguous = catalog.ambiguous_titles(e.withColumn("display_name", F.col("title")))
+    assert re.search(r"Aggregate \[core_title#\d+, display_name#\d+\]", ambiguous._jdf.queryExecution().optimizedPlan().toString())
+    assert {r["display_name"]: (r["n_names"], r["others"]) for r in ambiguous.collect()} == {"TSR1: Same": (2, "TSR2: Same"), "TSR2: Same": (2, "TSR1: Same")}
